@@ -11,12 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "tallyweave", cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the library expects (UTC, AQE, Arrow)."""
     os.environ.setdefault("TZ", "UTC")
-    return (
+    spark = (
         SparkSession.builder.appName(app)
         .master(f"local[{cpus}]")
         .config("spark.driver.memory", memory)
@@ -29,6 +30,8 @@ def build_session(app: str = "tallyweave", cpus: str | int = "*", partitions: in
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, once."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tallyweave-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/{os.path.basename(here)}", "zip", os.path.dirname(here), os.path.basename(here)))
+
+
 class Scratch:
     """Intermediate tables in the shared folder.
 
