@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, components, distinct_runs, grid_clusters, heavy_hitters, packing
+from tallyweave.llm import bpe, components, distinct_runs, grid_clusters, heavy_hitters, langid, packing
 from tallyweave.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +67,16 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, folder, "documents")))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.label_faults(langid.identify(table(spark, folder, "documents"))).select("doc_id", "seg_no", "lang")
+
+
+def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents")).drop("named")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_frequent, p2_found, p2_distinct, p5_found, p6_found, p6_clusters, p8_ids, p9_packing, p9_report)
+    f.__name__: f for f in (p1_found, p1_frequent, p2_found, p2_distinct, p5_found, p6_found, p6_clusters, p8_ids, p9_packing, p9_report, p10_found, p10_languages)
 }
 
 _ADDRESSES = """
