@@ -177,7 +177,7 @@ def _propagate(links: DataFrame, scratch: Scratch, max_rounds: int = 200) -> Dat
 def _assigned(df: DataFrame, id_column: str, x_column: str, eps: float, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Points (id, w, y, point) with their label, and rows with their point."""
     rows = scratch.keep(
-        df.where(F.size(x_column) == n)
+        df.where((F.size(x_column) == n) & F.col(id_column).isNotNull())
         .select(F.col(id_column).alias("row_id"), scaled(F.col(x_column)).alias("y"))
         .withColumn("point", F.md5(F.to_json("y"))),
         "rows",
@@ -193,7 +193,7 @@ def mutual_clusters(
 ) -> DataFrame:
     """(cluster_row_id, row_id): sets of at least ``min_size`` mutually similar rows that are similar to no row outside.
 
-    Rows whose vector is null or has another length take no part. Repeated
+    Rows without identifier, or whose vector is null or has another length, take no part. Repeated
     vectors count with all their rows. An empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession)
