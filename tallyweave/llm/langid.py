@@ -5,7 +5,8 @@ borders, held in sorted arrays of n-gram hashes. The models are fitted on a
 bounded sample of labelled documents (``sample_docs`` a language, chosen by hash
 of the identifier); as labels may be wrong, blocks that a first fit assigns to
 another language are left out of a second fit. A block gets the language of the
-lowest cross-entropy per character. A block whose cross-entropy is above what
+lowest cross-entropy per character; where the lead over the next language is
+small, each sentence is scored and the language of most letters wins. A block whose cross-entropy is above what
 held-out blocks of that language show is rejected: it has no language.
 
 Everything else covers all documents and whole texts. A worker remembers the
@@ -46,10 +47,13 @@ NOT_PROSE = "={|#*:;!<[_"
 ORDER = 5
 # characters whose evidence the confidence counts: neighbouring n-grams aren't independent
 EVIDENCE = 16
+# below this lead in bits a character, a block's language is decided by its sentences' letters
+UNSURE_GAP = 1.5
 _PAD, _END = 1, 2
 _CACHE_ENTRIES = 1 << 17
 
 _BLANK_LINES = re.compile(r"\n(?:[^\S\n]*\n)+")
+_SENTENCES = re.compile(r"(?<=[.!?»])\s+|(?<=[。！？])|(?=«)")
 # letters; runs of kanji and of each kana script count as words of their own
 _WORDS = re.compile(r"[㐀-鿿々]+|[぀-ゟ]+|[゠-ヿ]+|[^\W\d_㐀-鿿々぀-ヿ]+")
 
@@ -341,6 +345,11 @@ def _identify_some(b: pa.RecordBatch, scorer: Scorer | None, fitted: Identifier
         rate = low / np.maximum(chars, 1)
         gap = (bits - low[:, None]) * (np.minimum(chars, EVIDENCE) / np.maximum(chars, 1))[:, None]
         sure = 1 / np.exp2(-gap).sum(axis=1)
+        lead = np.partition(bits, 1, axis=1)[:, 1] - low
+        for j in np.flatnonzero(lead < UNSURE_GAP * chars).tolist():
+            k, part = _by_sentences(scorer, parts[j])
+            if k is not None:
+                best[j], sure[j] = k, part
         for i, k, n, j, r, p in zip(doc, place, letters.tolist(), best.tolist(), rate.tolist(), sure.tolist()):
             if n >= MIN_LETTERS:
                 taken = r <= fitted.limits[j]
@@ -368,6 +377,15 @@ def _identify_some(b: pa.RecordBatch, scorer: Scorer | None, fitted: Identifier
     )
 
 
+def _by_sentences(scorer: Scorer, block: str) -> tuple[int | None, float]:
+    """The language of most letters of a block's sentences, and its part of them."""
+    bits, letters, _ = scorer.score([x for x in _SENTENCES.split(block) if x])
+    if not letters.sum():
+        return None, 0.0
+    by = np.bincount(bits.argmin(axis=1), letters, minlength=len(LANGUAGES))
+    return int(by.argmax()), float(by.max() / by.sum())
+
+
 def label_faults(found: DataFrame) -> DataFrame:
     """Rows of ``identify`` where the label is missing or names another language, and all segments."""
     return found.where("lang is not null and (seg_no > 0 or named is null or named <> lang)")
