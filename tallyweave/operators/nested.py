@@ -238,6 +238,8 @@ def unwrap_bodies(raw: DataFrame) -> DataFrame:
     A body is one transaction, or wraps several in a top-level array, in ``txs``,
     in ``tx`` or in the ``tx`` members of ``data.items``.
     """
+    # JSON lets a member name repeat; the last one counts
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     body = F.col("_b")
     items = F.try_variant_get(body, "$.data.items", "variant")
     many = F.coalesce(
