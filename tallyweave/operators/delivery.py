@@ -69,12 +69,10 @@ def exactly_once(df: DataFrame, id_column: str = "txid", order: str = "delivery_
         df = stored.unionByName(df, allowMissingColumns=True)
     columns = df.columns
     packed = df.select(message_id(id_column).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    rep = (
-        packed.where("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id", F.lit(True).alias("_rep"))
-    )
-    # left join, so that rows without identifier stay; the repeated side holds each identifier once
-    marked = packed.join(rep, "_id", "left")
-    single = marked.where("_rep is null").select("_row")
+    named = packed.where("_id is not null")
+    rep = named.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    # both branches read one exchange of the named rows
+    single = packed.where("_id is null").select("_row").unionByName(named.join(rep, "_id", "left_anti").select("_row"))
     rank = F.struct(F.col(f"_row.`{order}`").isNull(), F.col(f"_row.`{order}`"), F.xxhash64(F.to_json("_row")))
-    ranked = marked.where("_rep").groupBy("_id").agg(F.min_by("_row", rank).alias("_row")).select("_row")
+    ranked = named.join(rep, "_id", "left_semi").groupBy("_id").agg(F.min_by("_row", rank).alias("_row")).select("_row")
     return single.unionByName(ranked).select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])

@@ -9,8 +9,8 @@ carry their intersection, until no carry is left. Latest times lie in an array
 aligned with the positions. Decoding reads the planes back into numbers.
 
 Scale: events are pre-aggregated in each task before the one shuffle, so an
-entity with a third of all events sends one row per type and task chunk. Blocks
-are sized by the number of rows, and hold entities, never raw events.
+entity with a third of all events sends one row per type and task chunk. A block
+takes its rows in chunks, and its state grows with its entities and types only.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from tallyweave.operators.delivery import exactly_once
 
 BLOCK_ROWS = 1 << 15
 _CHUNK_ROWS = 1 << 18
+_NEVER = np.iinfo(np.int64).min
 _PARTIAL = "block int, entity string, kind string, n long, latest long, plus long, minus long"
 _FEATURES = "map<string,struct<n:bigint,latest:bigint,total_sats:bigint>>"
 
@@ -66,20 +67,6 @@ class BitSlices:
         return out
 
 
-def _rounds(positions: np.ndarray) -> Iterator[np.ndarray]:
-    """Row numbers in rounds, each with sorted distinct positions: the r-th round has every position's r-th row."""
-    order = np.argsort(positions, kind="stable")
-    p = positions[order]
-    start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if p.size else np.empty(0, np.int64)
-    nth = np.arange(p.size) - np.repeat(start, np.diff(np.r_[start, p.size]))
-    by_round = np.argsort(nth, kind="stable")
-    cuts = np.cumsum(np.bincount(nth)) if p.size else []
-    at = 0
-    for end in cuts:
-        yield order[by_round[at:end]]
-        at = end
-
-
 # --------------------------------------------------------------------------- Spark steps
 def typed_events(tx: DataFrame) -> DataFrame:
     """(entity, kind, time, value) of every input and output of the kept copies.
@@ -87,16 +74,17 @@ def typed_events(tx: DataFrame) -> DataFrame:
     kind is side, source and number of decimal digits of the value ('-' for a
     null source or value). Null and empty addresses are no entities.
     """
-    kept = exactly_once(tx.select("delivery_id", "txid", "time", F.col("provenance.source").alias("source"), "inputs", "outputs"))
 
-    def side(column: str, tag: str) -> Column:
+    def side(column: str) -> Column:
         return F.transform(
             F.filter(F.coalesce(F.col(column), F.array()), lambda e: e["address"].isNotNull() & (e["address"] != "")),
-            lambda e: F.struct(F.lit(tag).alias("side"), e["address"].alias("address"), e["value_sats"].alias("value")),
+            lambda e: F.struct(F.lit(column.removesuffix("puts")).alias("side"), e["address"].alias("address"), e["value_sats"].alias("value")),
         )
 
+    # only what the events need goes through the copies' shuffle
+    narrow = tx.select("delivery_id", "txid", "time", F.col("provenance.source").alias("source"), F.concat(side("inputs"), side("outputs")).alias("events"))
     digits = F.coalesce(F.length(F.abs(F.col("e.value")).cast("string")).cast("string"), F.lit("-"))
-    return kept.select(F.col("time"), "source", F.explode(F.concat(side("inputs", "in"), side("outputs", "out"))).alias("e")).select(
+    return exactly_once(narrow).select("time", "source", F.explode("events").alias("e")).select(
         F.col("e.address").alias("entity"),
         F.concat_ws("|", "e.side", F.coalesce("source", F.lit("-")), digits).alias("kind"),
         F.when(F.col("time") != 0, F.col("time")).alias("time"),
@@ -123,33 +111,80 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _combine(pa.Table.from_batches(held)).to_batches()
 
 
-def _block_features(table: pa.Table) -> pa.Table:
-    entities, kinds = pc.unique(table["entity"]), pc.unique(table["kind"])
-    kinds = kinds.take(pc.sort_indices(kinds))
-    ordinal = pc.index_in(table["entity"], value_set=entities).to_numpy().astype(np.int64)
-    kind = pc.index_in(table["kind"], value_set=kinds).to_numpy().astype(np.int64)
-    width = max(len(entities), 1)
-    at = kind * width + ordinal
-    number = {c: pc.fill_null(table[c], 0).to_numpy() for c in ("n", "plus", "minus")}
-    slices = {c: BitSlices() for c in number}
-    for rows in _rounds(at):
-        for c, v in number.items():
-            slices[c].add(at[rows], v[rows])
-    base = np.unique(at)
-    latest = np.full(base.size, np.iinfo(np.int64).min)
-    seen = pc.is_valid(table["latest"]).to_numpy()
-    np.maximum.at(latest, np.searchsorted(base, at[seen]), pc.fill_null(table["latest"], 0).to_numpy()[seen])
-    n, plus, minus = (slices[c].decode(base) for c in ("n", "plus", "minus"))
-
-    by_entity = np.lexsort((base // width, base % width))
-    base, latest = base[by_entity], latest[by_entity]
-    offsets = np.r_[0, np.cumsum(np.bincount(base % width, minlength=len(entities)))].astype(np.int32)
-    items = pa.StructArray.from_arrays(
-        [pa.array(n[by_entity]), pa.array(latest, mask=latest == np.iinfo(np.int64).min), pa.array((plus - minus)[by_entity])],
-        fields=[pa.field("n", pa.int64()), pa.field("latest", pa.int64()), pa.field("total_sats", pa.int64())],
-    )
-    features = pa.MapArray.from_arrays(pa.array(offsets), kinds.take(pa.array(base // width)), items)
-    return pa.table({"address": entities, "features": features})
+class _Block:
+    """The state of one block; it grows with its entities and types, not with the rows added."""
+
+    def __init__(self) -> None:
+        self.ordinals: dict[str, int] = {}
+        self.kinds: dict[str, int] = {}
+        self.slices = {c: BitSlices() for c in ("n", "plus", "minus")}
+        self.latest: dict[int, np.ndarray] = {}
+
+    def add(self, batches: list[pa.RecordBatch]) -> None:
+        table = _combine(pa.Table.from_batches(batches))  # one row per position
+        names, kinds = self.ordinals, self.kinds
+        ordinal = np.array([names.setdefault(e, len(names)) for e in table["entity"].to_pylist()], np.int64)
+        coded = pc.dictionary_encode(table["kind"]).combine_chunks()
+        code = np.array([kinds.setdefault(k, len(kinds)) for k in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+        at = (code << 32) | ordinal
+        order = np.argsort(at)
+        for c, s in self.slices.items():
+            s.add(at[order], pc.fill_null(table[c], 0).to_numpy()[order])
+        time, seen = pc.fill_null(table["latest"], 0).to_numpy(), pc.is_valid(table["latest"]).to_numpy()
+        for k in np.unique(code[seen]).tolist():
+            own = seen & (code == k)
+            have = self.latest.get(k)
+            if have is None or len(have) < len(names):
+                grown = np.full(max(len(names), 2 * (0 if have is None else len(have))), _NEVER)
+                grown[: 0 if have is None else len(have)] = _NEVER if have is None else have
+                have = self.latest[k] = grown
+            have[ordinal[own]] = np.maximum(have[ordinal[own]], time[own])
+
+    def decode(self) -> pa.RecordBatch:
+        # every event counts, so the planes of the counters hold all positions
+        base = np.unique(np.concatenate(self.slices["n"].planes))
+        base = base[np.lexsort((base >> 32, base & 0xFFFFFFFF))]
+        by_position = np.argsort(base)
+        numbers = {}
+        for c, s in self.slices.items():
+            numbers[c] = np.empty(base.size, np.int64)
+            numbers[c][by_position] = s.decode(base[by_position])
+        code, ordinal = base >> 32, base & 0xFFFFFFFF
+        latest = np.full(base.size, _NEVER)
+        for k, times in self.latest.items():
+            own = np.flatnonzero((code == k) & (ordinal < len(times)))
+            latest[own] = times[ordinal[own]]
+        items = pa.StructArray.from_arrays(
+            [pa.array(numbers["n"]), pa.array(latest, mask=latest == _NEVER), pa.array(numbers["plus"] - numbers["minus"])],
+            fields=[pa.field("n", pa.int64()), pa.field("latest", pa.int64()), pa.field("total_sats", pa.int64())],
+        )
+        offsets = np.r_[0, np.cumsum(np.bincount(ordinal, minlength=len(self.ordinals)))].astype(np.int32)
+        features = pa.MapArray.from_arrays(pa.array(offsets), pa.array(list(self.kinds), pa.string()).take(pa.array(code)), items)
+        return pa.RecordBatch.from_arrays([pa.array(list(self.ordinals), pa.string()), features], ["address", "features"])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each block; rows come in the order of the blocks and are added a chunk at a time."""
+    current, state, held, rows = None, None, [], 0
+    for b in batches:
+        blocks = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            if z == a:
+                continue
+            if state is None or blocks[a] != current:
+                if state is not None:
+                    state.add(held)
+                    yield state.decode()
+                current, state, held, rows = blocks[a], _Block(), [], 0
+            held.append(b.slice(a, z - a))
+            rows += z - a
+            if rows >= _CHUNK_ROWS:
+                state.add(held)
+                held, rows = [b.slice(a, 0)], 0
+    if state is not None:
+        state.add(held)
+        yield state.decode()
 
 
 def event_features(tx: DataFrame) -> DataFrame:
@@ -176,7 +211,7 @@ def event_features(tx: DataFrame) -> DataFrame:
         )
         .mapInArrow(_partials, _PARTIAL)
     )
-    return partial.groupBy("block").applyInArrow(_block_features, f"address string, features {_FEATURES}")
+    return partial.repartition("block").sortWithinPartitions("block").mapInArrow(_fold, f"address string, features {_FEATURES}")
 
 
 def feature_rows(features: DataFrame) -> DataFrame:

@@ -54,3 +54,22 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert event_features(spark.createDataFrame([], TX)).count() == 0
+
+
+def test_chunks_of_a_block_add_up(monkeypatch):
+    import pyarrow as pa
+
+    from tallyweave.operators import event_features as ef
+
+    monkeypatch.setattr(ef, "_CHUNK_ROWS", 7)
+    rng = np.random.default_rng(1)
+    rows = sorted(((int(rng.integers(3)), f"e{rng.integers(9)}", f"k{rng.integers(4)}", 1, None if rng.random() < 0.3 else int(rng.integers(100)), int(rng.integers(2**45)), int(rng.integers(9))) for _ in range(300)), key=lambda r: r[0])
+    names = ["block", "entity", "kind", "n", "latest", "plus", "minus"]
+    kinds = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 4]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 40]), kinds)], names) for i in range(0, 300, 40)]
+    got = sorted((b, a, k, f["n"], f["latest"], f["total_sats"]) for b, out in enumerate(ef._fold(iter(batches))) for a, m in zip(out.column(0).to_pylist(), out.column(1).to_pylist()) for k, f in m)
+    want = defaultdict(lambda: [0, None, 0])
+    for b, e, k, n, t, p, m in rows:
+        w = want[b, e, k]
+        w[0], w[1], w[2] = w[0] + n, max((x for x in (w[1], t) if x is not None), default=None), w[2] + p - m
+    assert got == sorted((*k, *v) for k, v in want.items())
