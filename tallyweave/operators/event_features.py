@@ -76,9 +76,11 @@ def typed_events(tx: DataFrame) -> DataFrame:
     """
 
     def side(column: str) -> Column:
+        # member by member, so that the scan reads these two members only
+        pairs = F.arrays_zip(F.col(f"{column}.address").alias("address"), F.col(f"{column}.value_sats").alias("value"))
         return F.transform(
-            F.filter(F.coalesce(F.col(column), F.array()), lambda e: e["address"].isNotNull() & (e["address"] != "")),
-            lambda e: F.struct(F.lit(column.removesuffix("puts")).alias("side"), e["address"].alias("address"), e["value_sats"].alias("value")),
+            F.filter(F.coalesce(pairs, F.array()), lambda e: e["address"].isNotNull() & (e["address"] != "")),
+            lambda e: F.struct(F.lit(column == "inputs").alias("spent"), e["address"].alias("address"), e["value"].alias("value")),
         )
 
     # only what the events need goes through the copies' shuffle
@@ -86,7 +88,7 @@ def typed_events(tx: DataFrame) -> DataFrame:
     digits = F.coalesce(F.length(F.abs(F.col("e.value")).cast("string")).cast("string"), F.lit("-"))
     return exactly_once(narrow).select("time", "source", F.explode("events").alias("e")).select(
         F.col("e.address").alias("entity"),
-        F.concat_ws("|", "e.side", F.coalesce("source", F.lit("-")), digits).alias("kind"),
+        F.concat_ws("|", F.when(F.col("e.spent"), "in").otherwise("out"), F.coalesce("source", F.lit("-")), digits).alias("kind"),
         F.when(F.col("time") != 0, F.col("time")).alias("time"),
         F.col("e.value").alias("value"),
     )
