@@ -68,10 +68,9 @@ def union_runs(runs: list[np.ndarray]) -> np.ndarray:
 
 # --------------------------------------------------------------------------- Spark steps
 def _hashes(column: str) -> Column:
-    return F.transform(
-        F.filter(F.coalesce(F.col(column), F.array()), lambda e: e["address"].isNotNull() & (e["address"] != "")),
-        lambda e: F.xxhash64(e["address"]),
-    )
+    # the member's own array, so that the scan reads no other member
+    addresses = F.coalesce(F.col(f"{column}.address"), F.array().cast("array<string>"))
+    return F.transform(F.filter(addresses, lambda a: a != ""), lambda a: F.xxhash64(a))
 
 
 def slices_for(spark, values: int) -> int:
