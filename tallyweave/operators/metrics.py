@@ -60,6 +60,16 @@ def precision_at(rows: DataFrame, ks: tuple[int, ...] = (10, 20, 50, 100)) -> Da
     return wide.groupBy("asked").agg(F.count("*").alias("k"), F.sum("y").alias("hits")).select("asked", "k", F.bround(F.col("hits") / F.col("k"), 4).alias("precision"), "hits")
 
 
+def evaluate(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row with all figures of a split. ``labelled_accuracy`` is for reference only: with few positives, a constant reaches nearly as much."""
+    base = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n_positive"))
+    conf = confusion(rows, threshold)
+    at = precision_at(rows)
+    tops = at.agg(*[F.coalesce(F.max(F.when(F.col("asked") == k, F.col("precision"))), F.lit(0.0)).alias(f"precision_at_{k}") for k in (10, 20, 50, 100)])
+    one = base.crossJoin(prf(conf)).crossJoin(youden_j(conf)).crossJoin(average_precision(rows)).crossJoin(tops)  # one row each
+    return one.withColumn("base_rate", F.bround(ratio(F.col("n_positive"), F.col("n")), 4)).withColumn("labelled_accuracy", F.bround(ratio(F.col("tp") + F.col("tn"), F.col("n")), 4))
+
+
 def best_threshold(rows: DataFrame) -> DataFrame:
     """(threshold, score): the first of 0.05, 0.06 .. 0.95 with the largest f1.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.operators import graph
+from tallyweave.operators.behavior import FEATURES
 
 def exit_kind() -> Column:
     """'service' by degrees, else 'dormant' if received and never spent, else null."""
@@ -59,3 +61,44 @@ def address_view(features: DataFrame, ranked: DataFrame, clusters: DataFrame, ri
 def overview(stats: DataFrame, patterns: DataFrame, edges: DataFrame) -> DataFrame:
     hours = F.round((F.col("window_end") - F.col("window_start")) / 3600, 1)
     return stats.crossJoin(patterns).crossJoin(edges.agg(F.count("*").alias("edges"))).withColumn("hours", hours)  # one row each
+
+
+def high_risk(risk: DataFrame, k: int = 6) -> DataFrame:
+    """The k riskiest cohorts of at least five members."""
+    return risk.where("not is_noise and size >= 5").orderBy(F.col("risk").desc(), "cluster").limit(k)
+
+
+def graph_view(features: DataFrame, edges: DataFrame, ranked: DataFrame, seed: str, hops: int = 2, max_nodes: int = 160) -> dict[str, DataFrame]:
+    """Nodes around a seed with score and exit kind, the edges among them, and the exits by what they received.
+
+    At most ``max_nodes`` (500) nodes; a seed outside the window gives itself only.
+    """
+    near = graph.ego_network(graph.adjacency(edges), seed, hops, max_nodes)
+    scores = ranked.select("address", "score")
+    nodes = (
+        near.join(features, "address").join(scores, "address", "left")
+        .select("address", "hops", (F.col("hops") == 0).alias("is_seed"), exit_kind().alias("exit_kind"), F.coalesce("score", F.lit(0.0)).alias("score"), "received_btc", "balance_btc", "in_degree", "out_degree")
+    )
+    return {"nodes": nodes, "edges": graph.induced_edges(edges, near), "exits": nodes.where("exit_kind is not null").orderBy(F.col("received_btc").desc(), "address")}
+
+
+def feature_map(features: DataFrame) -> DataFrame:
+    """(address, features): the 19 features as a map by name."""
+    return features.select("address", F.map_from_arrays(F.array(*map(F.lit, FEATURES)), F.array(*FEATURES)).alias("features"))
+
+
+def score_tier(score: Column) -> Column:
+    return F.when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low")
+
+
+def window_estimate(days: Column) -> tuple[Column, Column]:
+    """(blocks, minutes) that a window of so many days takes to fetch."""
+    blocks = F.floor(days * 144 + 0.5)
+    return blocks, F.floor(blocks * 6 / 60 + 0.5)
+
+
+def tx_parties(tx: DataFrame) -> DataFrame:
+    """Per row the addresses of both sides, and what each got and spent: (delivery_id, address, received, spent)."""
+    one = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda e: F.struct(e["address"].alias("a"), F.coalesce(e["value_sats"], F.lit(0)).alias("v"), F.lit(c == "outputs").alias("got")))
+    e = tx.select("delivery_id", F.explode(F.concat(one("inputs"), one("outputs"))).alias("e")).where("e.a <> ''")
+    return e.groupBy("delivery_id", F.col("e.a").alias("address")).agg(F.sum(F.when(F.col("e.got"), F.col("e.v")).otherwise(0)).alias("received"), F.sum(F.when(~F.col("e.got"), F.col("e.v")).otherwise(0)).alias("spent"))

@@ -379,6 +379,69 @@ def best_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.best_threshold(_labelled(spark, folder))
 
 
+@_query
+def evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.evaluate(_labelled(spark, folder)).select("n", "n_positive", "base_rate", "tp", "f1", "youden_j", "average_precision", "precision_at_10", "precision_at_100", "labelled_accuracy")
+
+
+# --------------------------------------------------------------------------- serving views
+def _ranked(f: DataFrame) -> DataFrame:
+    return cohort.top_ranked(cohort.fallback_score(f))
+
+
+@_query
+def api_overview(spark: SparkSession, folder: str) -> DataFrame:
+    f = _kept_base(spark, folder)
+    led = _ledger(spark, folder)
+    return serving.overview(behavior.window_stats(led, f), behavior.pattern_counts(f), behavior.edges(led, f))
+
+
+@_query
+def api_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    view = serving.ranking(_ranked(_kept_base(spark, folder)), min_btc=0.05, limit=60, pattern="fanin")
+    return view.select("rank", "address", "score", F.array_join("tags", ",").alias("tags"), "received_btc", "in_degree", "out_degree")
+
+
+@_query
+def api_address(spark: SparkSession, folder: str) -> DataFrame:
+    f = _kept_base(spark, folder)
+    c = _cohort_column(f)
+    return serving.address_view(f, _ranked(f), c, cohort.cluster_risk(f, c)).select("address", "exit_kind", "rank", "score", "cluster", "risk")
+
+
+@_query
+def api_graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    f = _kept_base(spark, folder)
+    e = Scratch(spark).keep(behavior.edges(_ledger(spark, folder), f), "edges")
+    seed = f.agg(F.min("address")).first()[0]
+    return serving.graph_view(f, e, _ranked(f), seed, hops=1, max_nodes=500)["nodes"]
+
+
+@_query
+def high_risk_cohorts(spark: SparkSession, folder: str) -> DataFrame:
+    f = _kept_base(spark, folder)
+    return serving.high_risk(cohort.cluster_risk(f, _cohort_column(f))).select("cluster", "size", "risk")
+
+
+@_query
+def report_tags(spark: SparkSession, folder: str) -> DataFrame:
+    return _base(spark, folder).select("address", F.array_join(serving.report_tags(), ",").alias("tags"))
+
+
+@_query
+def tx_parties(spark: SparkSession, folder: str) -> DataFrame:
+    return serving.tx_parties(table(spark, folder, "tx"))
+
+
+@_query
+def nearest_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    dims = [f"c{i}" for i in range(1, 5)]
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("address"), "label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)])
+    rows = cohort.centroids(e, dims).select("label", *[f"{d}_c" for d in dims], "radius").orderBy("label").collect()  # one row a label
+    found = cohort.assign_nearest(e.select("address", *dims), [(int(r[0]), list(r[1:5]), r[5]) for r in rows], tuple(dims))
+    return found.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
 # --------------------------------------------------------------------------- tracing
 @_query
 def classify_address(spark: SparkSession, folder: str) -> DataFrame:

@@ -158,4 +158,31 @@ SQL: dict[str, str] = {
     "block_window": "select count(*) n_rows, min(block_height) first_height, max(block_height) last_height, count(distinct block_height) n_blocks from tx, (select max(block_height) h from tx) where block_height between greatest(0, h - 287) and h",
     "address_history": """with t as (select delivery_id, txid, unnest(list_distinct(list_filter(list_transform(list_concat(coalesce(inputs, []), coalesce(outputs, [])), lambda e: e.address), lambda a: a <> ''))) address from tx where txid is not null)
       select address, count(distinct txid) n_tx from t group by 1""",
+    "evaluation": q(f"""select (select count(*) from lab) n, (select sum(y) from lab)::bigint n_positive, (select round_even(avg(y), 4) from lab) base_rate, tp,
+      round_even(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 4) f1, round_even(r - case when fp + tn > 0 then fp / (fp + tn) else 0 end, 4) youden_j,
+      (select round_even(coalesce(sum(case when y = 1 then tp / r end) / nullif(sum(y), 0), 0), 4) from rk) average_precision,
+      (select round_even(avg(y), 4) from rk where r <= 10) precision_at_10, (select round_even(avg(y), 4) from rk where r <= 100) precision_at_100, round_even((tp + tn) / (tp + fp + fn + tn), 4) labelled_accuracy
+      from (select *, {_PR} p, {_RC} r from cf)""", "rows"),
+    "api_overview": q("""select *, round((window_end - window_start) / 3600, 1) as hours from (select (select count(*) from txs) transactions, (select min(ts) from txs) window_start, (select max(ts) from txs) window_end,
+      (select count(distinct height) from txs) blocks, (select count(*) from first_) distinct_addresses, (select count(*) from feat) addresses_with_min_activity,
+      count(*) filter (layering_score > 0) layering, count(*) filter (collector_score > 0) collector, count(*) filter (peel_score > 0.5 and n_tx_out >= 2) peeling,
+      count(*) filter (forward_ratio > 0.95 and received_btc > 0.01) pass_through, (select count(*) from edge) edges from feat)""", "rows"),
+    "api_ranking": q(f"""select rank, address, score, {_TAGS} tags, received_btc, in_degree, out_degree from (select *, row_number() over (order by score desc, address)::int rank from score)
+      where rank <= 25 and received_btc >= 0.05 and collector_score > 0.1""", "rows"),
+    "api_address": q("""select f.address, case when in_degree >= 40 and out_degree >= 40 then 'service' when received_btc > 0.01 and n_tx_out = 0 then 'dormant' end exit_kind, rank, case when rank is not null then t.score end score,
+      cl.cluster::int cluster, risk from feat f join cl using (address) join risk on risk.cluster = cl.cluster
+      left join (select address, score, row_number() over (order by score desc, address)::int rank from score qualify rank <= 25) t using (address)""", "rows"),
+    "api_graph_nodes": q(""", s as (select min(address) a from feat),
+      h as (select a address, 0 hops from s union all select other, 1 from (select other, max(value_sats) v from adj, s where address = a and other <> a group by 1 qualify row_number() over (order by v desc, other) <= 499))
+      select address, hops, hops = 0 is_seed, case when in_degree >= 40 and out_degree >= 40 then 'service' when received_btc > 0.01 and n_tx_out = 0 then 'dormant' end exit_kind, coalesce(t.score, 0.0)::double score,
+      received_btc, balance_btc, in_degree, out_degree from h join feat using (address) left join (select address, score from score qualify row_number() over (order by score desc, address) <= 25) t using (address)""", "rows"),
+    "high_risk_cohorts": q("select cluster, size, risk from risk where not is_noise and size >= 5 order by risk desc, cluster limit 6", "rows"),
+    "report_tags": q("select address, " + _TAGS.replace("case when forward", "case when peel_score > 0.5 then 'peeling' end, case when forward") + " tags from feat", "rows"),
+    "tx_parties": """with e as (select delivery_id, unnest(inputs).address address, 0::bigint r, unnest(inputs).value_sats s from tx union all select delivery_id, unnest(outputs).address, unnest(outputs).value_sats, 0 from tx)
+      select delivery_id, address, sum(coalesce(r, 0))::bigint received, sum(coalesce(s, 0))::bigint spent from e where address <> '' group by 1, 2""",
+    "nearest_assignment": """with d as (select vec_id, embedding e, label from embeddings), n as (select label, """ + ", ".join(f"avg(e[{i}]::double) c{i}" for i in range(1, 5)) + """ from d group by 1),
+      x as (select vec_id, d.label own, n.label label, sqrt(""" + " + ".join(f"(e[{i}]::double - c{i}) * (e[{i}]::double - c{i})" for i in range(1, 5)) + """) dist from d cross join n),
+      r as (select label, greatest(quantile_cont(dist, 0.9), 1e-6) radius from x where own = label group by 1),
+      b as (select vec_id, arg_min(label, struct_pack(a := dist, b := label)) label, min(dist) dist from x group by 1)
+      select case when dist <= radius then b.label else -1 end::int cluster, count(*) n from b join r using (label) group by 1""",
 }
