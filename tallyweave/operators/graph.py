@@ -63,14 +63,15 @@ def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     pairs = pairs.where("u is not null and v is not null")
     both = scratch.keep(pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
     labels = scratch.keep(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "labels")
-    for _ in range(max_rounds):
+    for r in range(max_rounds):
         told = both.join(labels.select(F.col("node").alias("u"), "root"), "u").groupBy(F.col("v").alias("node")).agg(F.min("root").alias("told"))
         step = labels.join(told, "node").select("node", F.col("root").alias("old"), F.least("root", "told").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = scratch.keep(step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "next")
-        changed = new.where("old <> root").limit(1).count()
-        labels = scratch.keep(new.select("node", "root"), "labels")
-        if not changed:
+        new = step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root"))
+        # two names by turns: a round reads the table of the one before
+        new = scratch.keep(new, f"labels{r % 2}")
+        labels = new.select("node", "root")
+        if new.where("old <> root").isEmpty():
             sizes = labels.groupBy("root").agg(F.count("*").alias("size"))
             return labels.join(sizes, "root").select("node", "root", "size")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

@@ -13,6 +13,7 @@ from tallyweave.session import Scratch
 MIN_CHAIN = 3
 MAX_WALK = 500
 RETAIN = 0.85
+BUCKET_ROWS = 200_000
 
 
 def shares(led: Ledger) -> DataFrame:
@@ -82,6 +83,17 @@ def walk_lengths(led: Ledger) -> DataFrame:
     return ends.unionByName(ringed)
 
 
+def _on_long_walks(s: DataFrame) -> DataFrame:
+    """Without the transactions that neither step on, nor are stepped to, nor share their carrier.
+
+    Each of those is a component of its own, and a chain needs three.
+    """
+    steps = s.where("next is not null").select(F.explode(F.array("txid", "next")).alias("txid")).distinct().withColumn("linked", F.lit(True))
+    shared = s.groupBy("carrier").count().where("count > 1").select("carrier", F.lit(True).alias("shared"))
+    both = s.join(steps, "txid", "left").join(shared, "carrier", "left")
+    return both.where("linked or shared").select(s.columns)
+
+
 def chain_members(led: Ledger) -> DataFrame:
     """(address, chain_length, position) of the carriers on chains of at least three transactions.
 
@@ -91,7 +103,8 @@ def chain_members(led: Ledger) -> DataFrame:
     graph of transactions and carriers are walked apart; those of fewer than
     three peel-shaped transactions are left out before.
     """
-    s = Scratch(led.spark()).keep(successors(led), "successors")
+    scratch = Scratch(led.spark())
+    s = scratch.keep(_on_long_walks(scratch.keep(successors(led), "all")), "successors")
     tag = lambda c, t: F.concat(F.lit(t), F.col(c).cast("string"))
     links = s.select(tag("txid", "t").alias("u"), tag("carrier", "a").alias("v")).unionByName(
         s.where("next is not null").select(tag("next", "t").alias("u"), tag("carrier", "a").alias("v"))
@@ -124,7 +137,10 @@ def chain_members(led: Ledger) -> DataFrame:
                     out[carrier[t]] = (len(path), i + 1)
         return pd.DataFrame([(a, n, p) for a, (n, p) in out.items()], columns=["address", "chain_length", "position"])
 
-    return rows.groupBy("root").applyInPandas(walk, "address string, chain_length int, position int")
+    # components don't touch each other, so many can be walked in one call
+    buckets = max(int(led.spark().conf.get("spark.sql.shuffle.partitions")), s.count() // BUCKET_ROWS + 1)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandas(walk, "address string, chain_length int, position int")
 
 
 def peel_columns(led: Ledger, members: DataFrame) -> DataFrame:

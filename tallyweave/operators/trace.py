@@ -116,32 +116,53 @@ class AddressBook:
         text = lambda d: d.withColumn("txid", F.col("txid").cast("string"))
         led = Ledger(text(led.txs), text(led.inp), text(led.out))
         self.opt = opt
-        self.totals = scratch.keep(totals(led), "totals")
+        # in the order of their keys, so that a lookup skips all files and row groups without them
+        ordered = lambda d, k, name: scratch.keep(d.repartitionByRange(k).sortWithinPartitions(k), name)
+        self.totals = ordered(totals(led), "address", "totals")
         i = led.inp.groupBy("txid").agg(F.sort_array(F.collect_list(F.struct("i_pos", "address", "value"))).alias("inputs"))
         o = led.out.groupBy("txid").agg(F.sort_array(F.collect_list(F.struct("o_pos", "address", "value"))).alias("outputs"))
-        self.txs = scratch.keep(led.txs.join(i, "txid", "left").join(o, "txid", "left"), "txs")
-        self.spends = scratch.keep(led.inp.select("address", "txid", "ord").distinct(), "spends")
+        self.txs = ordered(led.txs.join(i, "txid", "left").join(o, "txid", "left"), "txid", "txs")
+        self.spends = ordered(led.inp.select("address", "txid", "ord").distinct(), "address", "spends")
         self.records: dict[str, dict] = {}
 
     def load(self, addresses: list[str]) -> None:
         new = [a for a in dict.fromkeys(addresses) if a not in self.records]
         if not new:
             return
-        for r in self.totals.where(F.col("address").isin(new)).collect():
-            self.records[r.address] = {"n_tx": r.n_tx, "received": r.received, "sent": r.sent, "balance": r.balance, "txs": [], "truncated": False}
-        for a in new:
-            self.records.setdefault(a, {"n_tx": 0, "received": 0, "sent": 0, "balance": 0, "txs": [], "truncated": False})
         limit = self.opt.max_history
-        from pyspark.sql import Window as W
-
-        newest = W.partitionBy("address").orderBy(F.col("ord").desc())
-        own = self.spends.where(F.col("address").isin(new)).withColumn("r", F.row_number().over(newest)).where(F.col("r") <= limit + 1)
-        for r in own.join(self.txs.drop("ord"), "txid").orderBy("address", "r").collect():
-            rec = self.records[r.address]
-            if r.r > limit:
-                rec["truncated"] = True
-            else:
-                rec["txs"].append({"txid": r.txid, "time": r.ts, "height": r.height, "inputs": [(x.address, x.value) for x in r.inputs], "outputs": [(x.address, x.value) for x in r.outputs or []]})
+        for a in new:
+            self.records[a] = {"n_tx": 0, "received": 0, "sent": 0, "balance": 0, "txs": [], "truncated": False}
+        for r in self.totals.where(F.col("address").isin(new)).collect():
+            self.records[r.address] |= {"n_tx": r.n_tx, "received": r.received, "sent": r.sent, "balance": r.balance}
+        spends = [a for a in new if self.records[a]["sent"] > 0]
+        long = [a for a in spends if self.records[a]["n_tx"] > limit]
+        short = [a for a in spends if self.records[a]["n_tx"] <= limit]
+        own: list[tuple[str, str]] = []
+        if short:
+            rows = self.spends.where(F.col("address").isin(short)).collect()
+            own += [(r.address, r.txid) for r in sorted(rows, key=lambda r: tuple(r.ord), reverse=True)]
+        for a in long:
+            rows = self.spends.where(F.col("address") == a).orderBy(F.col("ord").desc()).limit(limit + 1).collect()
+            self.records[a]["truncated"] = len(rows) > limit
+            own += [(a, r.txid) for r in rows[:limit]]
+        wanted = list({t for _, t in own})
+        found = {}
+        for k in range(0, len(wanted), 5000):
+            for r in self.txs.where(F.col("txid").isin(wanted[k : k + 5000])).drop("ord").collect():
+                found[r.txid] = {"txid": r.txid, "time": r.ts, "height": r.height, "inputs": [(x.address, x.value) for x in r.inputs], "outputs": [(x.address, x.value) for x in r.outputs or []]}
+        for a, t in own:
+            self.records[a]["txs"].append(found[t])
+
+    def load_chains(self, address: str, waves: int = 12) -> None:
+        """Read ahead along the peel chains of an address: a wave reads the next carriers of all of them."""
+        txs = self.records[address]["txs"]
+        for _ in range(waves):
+            carriers = {c[0]: t for t in txs if (c := _carrier(t, self.opt)) and c[0] != address}
+            if not carriers or len(self.records) > 20 * self.opt.budget:
+                return
+            self.load(list(carriers)[: 2 * self.opt.budget])
+            records = {a: self.records[a] for a in carriers if a in self.records}
+            txs = [n for a, r in records.items() if (n := next((x for x in r["txs"] if x["txid"] != carriers[a]["txid"]), None))]
 
 
 def _half_up(x: float) -> int:
@@ -262,6 +283,7 @@ def trace(led: Ledger, source: str, opt: TraceOptions | None = None, labels: dic
                 endpoint(node, "HORIZON", 0.0, "history_truncated", rec)
             continue
         branches: list[dict] = []
+        book.load_chains(a)
         for tx in rec["txs"]:
             spent, total = sum(v for x, v in tx["inputs"] if x == a), sum(v for _, v in tx["outputs"])
             if spent <= 0 or total <= 0:
