@@ -248,8 +248,10 @@ def unwrap_bodies(raw: DataFrame) -> DataFrame:
         as_list(body, "$.tx"),
         F.transform(as_list(items), lambda i: F.try_variant_get(i, "$.tx", "variant")),
     )
-    wraps = F.greatest(*[F.try_variant_get(body, f"$.{m}", "variant").isNotNull() for m in ("txs", "tx", "data")])
-    single = F.when(~F.coalesce(wraps, F.lit(False)) & F.try_variant_get(body, "$", "map<string,variant>").isNotNull(), F.array(body))
+    has = lambda names: F.greatest(*[F.try_variant_get(body, f"$.{m}", "variant").isNotNull() for m in names])
+    # a wrapper without transactions is none itself, unless it has lists of its own
+    own = has((*IN_NAMES, *OUT_NAMES)) | ~has(("txs", "tx", "data"))
+    single = F.when(own & F.try_variant_get(body, "$", "map<string,variant>").isNotNull(), F.array(body))
     return (
         raw.select("record_id", parsed(F.col("body")).alias("_b"))
         .where("_b is not null")

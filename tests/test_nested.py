@@ -13,8 +13,8 @@ def places(spark, bodies, side):
 
 def test_wrappings(spark):
     one = '{"vin": [null, {"a": 1}], "out": {"addr": "x"}}'
-    bodies = [one, f"[{one}, null, {one}]", f'{{"txs": [{one}]}}', f'{{"tx": {one}}}', f'{{"data": {{"items": [{{"tx": {one}}}, {{}}, {{"tx": {one}}}]}}}}', '{"txs": null}', '{"inputs": 5, "outputs": []}']
-    assert places(spark, bodies, "in") == [(0, 0, 1), (1, 0, 1), (1, 2, 1), (2, 0, 1), (3, 0, 1), (4, 0, 1), (4, 2, 1)]
+    bodies = [one, f"[{one}, null, {one}]", f'{{"txs": [{one}]}}', f'{{"tx": {one}}}', f'{{"data": {{"items": [{{"tx": {one}}}, {{}}, {{"tx": {one}}}]}}}}', '{"txs": null}', '{"inputs": 5, "outputs": []}', '{"tx": "id", "vin": {}}']
+    assert places(spark, bodies, "in") == [(0, 0, 1), (1, 0, 1), (1, 2, 1), (2, 0, 1), (3, 0, 1), (4, 0, 1), (4, 2, 1), (7, 0, 0)]
     assert places(spark, bodies, "out") == [(0, 0, 0), (1, 0, 0), (1, 2, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0), (4, 2, 0)]
 
 
