@@ -263,6 +263,9 @@ def vocabulary_text(tokenizer_dir: str = TOKENIZER_DIR, name: str = "byte_bpe_50
 def encode_corpus(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """(<id>, ids array<int>) for every row; null and empty texts give an empty list.
 
+    Texts of any length are encoded whole. Rows are independent: null and repeated
+    ids stay as they are, other columns are not read, an empty table gives no rows.
+
     Rows are encoded where they are read: no shuffle. The vocabulary, a file of
     fixed size, is the only thing broadcast.
     """

@@ -175,6 +175,7 @@ def distinct_addresses(tx: DataFrame, groupings: list[tuple[str, ...]]) -> DataF
 
     Null and empty addresses are not counted; rows with a null day or source
     form groups of their own. Groups without any address give no row, nor does
-    an empty table.
+    an empty table. Null lists and elements count as absent, repeated rows add
+    nothing, and other columns are not read.
     """
     return count_runs(task_runs(tx, slices_for(tx.sparkSession, 5 * tx.count())), groupings)

@@ -87,7 +87,9 @@ def frequent(values: DataFrame, support: float, epsilon: float | None = None) ->
     ``values`` has the columns field and value; nulls in either are left out.
     The true count lies within [count_low, count_high], and the interval is at
     most ``epsilon`` (a fifth of the support) of the field's values wide. Every
-    value with the support is in the result. The merged summaries, whose size
+    value with the support is in the result, values of equal counts alike; every
+    repeated row counts, empty strings are values, other columns are not read and
+    an empty table gives no rows. The merged summaries, whose size
     doesn't grow with the distinct values, are written once to the shared folder.
     """
     epsilon = epsilon or support / 5
@@ -104,7 +106,8 @@ def frequent_exact(values: DataFrame, support: float, epsilon: float | None = No
 
     The candidates come from ``frequent``, so there are at most about
     1 / (support - epsilon) per field; they are collected (that bound holds
-    whatever the data) and counted in one more pass.
+    whatever the data) and counted in one more pass. Nulls, repeated rows, other
+    columns and empty tables are treated as there.
     """
     few = frequent(values, support, epsilon).select("field", "value", "n_values").collect()
     local = values.sparkSession.createDataFrame([tuple(r) for r in few], "field string, value string, n_values long")

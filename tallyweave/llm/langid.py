@@ -308,7 +308,10 @@ def identify(
     confidence theirs by letters, letters in other languages counting as 0.
     Documents without prose block (null and
     empty texts too) and rejected blocks have a null language and confidence 0.
-    ``named`` is the language that the delivered label names, or null.
+    ``named`` is the language that the delivered label names, or null. Of languages
+    with equally many letters the first by code wins. Rows are independent, so
+    null and repeated ids stay as they are; other columns are not read. An empty
+    table gives no rows, and without any labelled text no row has a language.
     """
     spark = df.sparkSession
     fitted = fit_identifier(labelled_sample(df, sample_docs, max_sample_chars, id_column, text_column, label_column))

@@ -175,7 +175,9 @@ def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ca
     No container holds more than ``capacity`` tokens. A text is divided only if
     it is longer than that. Null and empty texts have one piece of 0 tokens,
     which takes no room and lies in container 0. Rows with equal ids are items
-    of their own, which may then have equal ids and pieces in the result.
+    of their own, which may then have equal ids and pieces in the result; ties
+    in length are placed by id. Other columns are not read, and an empty table
+    gives no rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
