@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.money import SATS, round_half_up
 from tallyweave.operators.ledger import Ledger
+from tallyweave.session import Scratch
 
 FAST_SPLIT_SECONDS = 600
 # Feature names in document order. Fixed values.
@@ -81,7 +82,9 @@ def turnaround(led: Ledger, ext: DataFrame, slot_seconds: int = 86400) -> DataFr
 
 
 def accumulators(led: Ledger) -> DataFrame:
-    ext, first = ext_out(led), first_seen(led)
+    """One row per address with all counters; what several of them read is written once."""
+    scratch = Scratch(led.spark())
+    ext, first = scratch.keep(ext_out(led), "ext"), scratch.keep(first_seen(led), "first")
     all_ = receipts(ext).join(spends(led), "address", "full").join(first, "address", "left").join(payments(led, ext, first), "address", "left")
     all_ = all_.join(degrees(counterparties(led, ext)), "address", "left").join(turnaround(led, ext), "address", "left")
     counts = ("n_tx_in", "n_tx_out", "received_sats", "sent_sats", "largest_received_sats", "max_split_width", "paid_to_total", "paid_to_new", "in_degree", "out_degree")

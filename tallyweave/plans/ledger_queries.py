@@ -29,7 +29,7 @@ def _ledger(spark: SparkSession, folder: str) -> ledger.Ledger:
 
 def _base(spark: SparkSession, folder: str) -> DataFrame:
     """Features without the peel columns, which need the greedy walk."""
-    return behavior.with_features(behavior.accumulators(_ledger(spark, folder)))
+    return behavior.with_features(behavior.accumulators(_ledger(spark, folder).kept()))
 
 
 def _kept_base(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +146,7 @@ def address_features_base(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def address_features(spark: SparkSession, folder: str) -> DataFrame:
-    led = _ledger(spark, folder)
+    led = _ledger(spark, folder).kept()
     return behavior.with_features(behavior.accumulators(led), peel.peel_columns(led, peel.chain_members(led)))
 
 
@@ -392,7 +392,7 @@ def _ranked(f: DataFrame) -> DataFrame:
 @_query
 def api_overview(spark: SparkSession, folder: str) -> DataFrame:
     f = _kept_base(spark, folder)
-    led = _ledger(spark, folder)
+    led = _ledger(spark, folder).kept()
     return serving.overview(behavior.window_stats(led, f), behavior.pattern_counts(f), behavior.edges(led, f))
 
 
@@ -463,7 +463,7 @@ def haircut_step(spark: SparkSession, folder: str) -> DataFrame:
 
 def _trace(spark: SparkSession, folder: str) -> trace.Trace:
     """From the address that received most of those that spend."""
-    led = _ledger(spark, folder)
+    led = _ledger(spark, folder).kept()
     source = trace.totals(led).where("sent > 0").orderBy(F.col("received").desc(), "address").first()[0]
     return trace.trace(led, source, trace.TraceOptions(budget=60))
 
