@@ -82,9 +82,8 @@ def turnaround(led: Ledger, ext: DataFrame, slot_seconds: int = 86400) -> DataFr
 
 
 def accumulators(led: Ledger) -> DataFrame:
-    """One row per address with all counters; what several of them read is written once."""
-    scratch = Scratch(led.spark())
-    ext, first = scratch.keep(ext_out(led), "ext"), scratch.keep(first_seen(led), "first")
+    """One row per address with all counters. The change-free outputs, which four of them read, are joined and written once."""
+    ext, first = Scratch(led.spark()).keep(ext_out(led), "ext"), first_seen(led)
     all_ = receipts(ext).join(spends(led), "address", "full").join(first, "address", "left").join(payments(led, ext, first), "address", "left")
     all_ = all_.join(degrees(counterparties(led, ext)), "address", "left").join(turnaround(led, ext), "address", "left")
     counts = ("n_tx_in", "n_tx_out", "received_sats", "sent_sats", "largest_received_sats", "max_split_width", "paid_to_total", "paid_to_new", "in_degree", "out_degree")

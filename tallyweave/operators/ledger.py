@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.session import Scratch
 from tallyweave.sources.tables import table
 
 
@@ -30,11 +29,6 @@ class Ledger:
     def spark(self) -> SparkSession:
         return self.txs.sparkSession
 
-    def kept(self) -> Ledger:
-        """The same, written once; for steps that read it several times."""
-        scratch = Scratch(self.spark())
-        return Ledger(scratch.keep(self.txs, "txs"), scratch.keep(self.inp, "inp"), scratch.keep(self.out, "out"))
-
 
 def from_blocks(blocks: DataFrame) -> Ledger:
     """From reduced blocks (height, time, txs[txid, time, inputs, outputs]).
