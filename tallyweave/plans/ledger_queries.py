@@ -215,6 +215,14 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
     return graph.components(pairs.select(F.col("o_custkey").cast("long").alias("u"), (F.col("l_suppkey") + F.lit(1000000000)).cast("long").alias("v")))
 
 
+@_query
+def components_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all customer-supplier pairs; ``components`` takes the few that its recursive twin can follow."""
+    lines, orders = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    pairs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return graph.components(pairs.select(F.col("o_custkey").cast("long").alias("u"), (F.col("l_suppkey") + F.lit(1000000000)).cast("long").alias("v")))
+
+
 @_query
 def exit_points(spark: SparkSession, folder: str) -> DataFrame:
     return serving.exits(_base(spark, folder))
