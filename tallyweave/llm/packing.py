@@ -5,11 +5,12 @@ entries however many items there are. A configuration is a multiset of lengths
 that fits a container. The configuration linear program (fewest containers that
 cover the histogram) is solved approximately by multiplicative weights: every
 length has a weight that falls as it gets covered, and a knapsack dynamic
-program prices the best configuration under these weights. Rounding uses each
-configuration the whole number of times of its share; what is left is packed by
-the same pricing with real lengths as weights, a configuration at a time with
-its largest multiplicity. The dual weights also give a lower bound on the number
-of containers, so the distance from the optimum is reported.
+program prices configurations under these weights, until every length is covered
+in full. Rounding carries the fractions of the shares on from configuration to
+configuration; what that leaves, and only that, is packed by the same pricing
+with real lengths as weights, a configuration at a time with its largest
+multiplicity. The dual weights also give a lower bound on the number of
+containers, so the distance from the optimum is known.
 
 The items are then numbered within their length, and intervals of these numbers
 are mapped to containers. The number within a length needs no group of a whole
@@ -32,6 +33,7 @@ from tallyweave.session import Scratch
 
 CAPACITY = 2048
 _SALT_ROWS = 200_000
+_TOLERANCE = 0.05  # a configuration counts as best within this share of the best price
 
 
 # --------------------------------------------------------------------------- plan on the histogram
@@ -45,6 +47,7 @@ class Plan:
     per: np.ndarray
     containers: int
     bound: int
+    by_shares: int = 0  # containers filled by the rounded shares; the others are full lengths and the remainder
 
 
 def _best_fill(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,37 +93,105 @@ def _top_up(config: dict[int, int], sizes: np.ndarray, have: np.ndarray, capacit
         room -= n * int(sizes[j])
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 100) -> tuple[list[tuple[dict[int, int], int]], int]:
-    """Configurations (by index into ``sizes``, ascending) with multiplicities, and a lower bound on containers."""
-    have = counts.astype(np.int64).copy()
+def _prices(dense: np.ndarray) -> np.ndarray:
+    """Unbounded knapsack: best value by capacity used at most, from values by length (-inf where there is none)."""
+    capacity = len(dense) - 1
+    best, back = np.zeros(capacity + 1), np.zeros(capacity + 1)  # back[capacity - w] is best[w]
+    for w in range(1, capacity + 1):
+        best[w] = back[capacity - w] = max(best[w - 1], (dense[1 : w + 1] + back[capacity - w + 1 :]).max())
+    return best
+
+
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray, float]:
+    """Shares of configurations, the covered part of each length, and a lower bound on containers.
+
+    One table prices the configurations of a round, the best one around each
+    length; those whose value falls short by then wait for the next table. A
+    step covers 1 / log(lengths + 1) of a length at most, so each finishes one
+    such part of a length at least: the number of steps is bounded, and without
+    ``rounds`` it ends when every length is covered. A covered length leaves.
+    """
     total = counts.astype(float)
-    bound = float((sizes * total).sum() / capacity)
-    plan: list[tuple[dict[int, int], int]] = []
-    if not len(sizes):
-        return plan, 0
+    eta = np.log(len(sizes) + 1.0)
     covered = np.zeros(len(sizes))
-    shares: list[tuple[dict[int, int], float]] = []
-    eta = 2.0 * np.log(len(sizes) + 1.0)
-    for _ in range(rounds):
-        # weight of a length per item: its size, raised while its cover lags behind
-        weight = sizes * np.exp(-eta * (covered - covered.min()))
-        best, last = _best_fill(weight, sizes, capacity)
+    shares: dict[tuple[tuple[int, int], ...], float] = {}
+    bound, done = float((sizes * total).sum() / capacity), 0
+    index = np.zeros(capacity + 1, np.int64)
+    index[sizes] = np.arange(len(sizes))
+    while covered.min(initial=1) < 1 and (rounds is None or done < rounds):
+        done += 1
+        weight = np.where(covered < 1, sizes * np.exp(-eta * (covered - covered.min())), 0.0)
+        dense = np.full(capacity + 1, -np.inf)
+        dense[sizes[covered < 1]] = weight[covered < 1]
+        best = _prices(dense)
+        back = best[::-1].copy()
         bound = max(bound, float((weight * total).sum() / best[capacity]))
-        config = _top_up(_read_back(last, sizes, have, capacity), sizes, have, capacity)
-        step = min(total[j] / n for j, n in config.items()) / 8
-        for j, n in config.items():
-            covered[j] += step * n / total[j]
-        shares.append((config, step))
-        if covered.min() >= 1:
-            break
-    # rounding: every configuration in proportion, whole times, never more items than there are
-    scale = 1.0 / max(1.0, covered.max())
-    for config, share in sorted(shares, key=lambda x: -x[1]):
-        times = min([int(share * scale), *(int(have[j]) // n for j, n in config.items())])
-        if times > 0:
+        least = (1 - _TOLERANCE) * best[capacity]
+
+        def around(j: int, least: float) -> tuple[float, dict[int, int]]:
+            """Value and configuration around a length by the table; empty as soon as it must fall short."""
+            config, barred = {j: 1}, []
+            room, value, pick = capacity - int(sizes[j]), float(dense[sizes[j]]), j
+            while room > 0 and best[room] > 0 and value + best[room] >= least:
+                if config[pick] >= counts[pick]:
+                    barred.append((int(sizes[pick]), float(dense[sizes[pick]])))
+                    dense[sizes[pick]] = -np.inf
+                gain = dense[1 : room + 1] + back[capacity - room + 1 :]
+                size = room - int(gain[::-1].argmax())  # the largest of equals
+                if gain[size - 1] == -np.inf:
+                    break
+                pick = int(index[size])
+                config[pick] = config.get(pick, 0) + 1
+                room -= size
+                value += float(dense[size])
+            for size, v in barred:
+                dense[size] = v
+            return (value, config) if value >= least else (value, {})
+
+        def use(config: dict[int, int]) -> None:
+            k, n = np.array(list(config)), np.array(list(config.values()), float)
+            step = float((np.minimum(1 / eta, 1 - covered[k]) * total[k] / n).min())
+            covered[k] += step * n / total[k]
+            covered[k[covered[k] > 1 - 1e-9]] = 1.0
+            dense[sizes[k]] = np.where(covered[k] < 1, dense[sizes[k]] * np.exp(-eta * step * n / total[k]), -np.inf)
+            key = tuple(sorted(config.items(), reverse=True))
+            shares[key] = shares.get(key, 0.0) + step
+
+        used = False
+        for j in np.argsort(covered, kind="stable").tolist():
+            while covered[j] < 1 and dense[sizes[j]] + best[capacity - sizes[j]] >= least:
+                config = around(j, least)[1]
+                if not config:
+                    break
+                use(config)
+                used = True
+        if not used:  # what there is of the lengths does not make up the best price
+            use(max((around(j, 0.0) for j in np.flatnonzero(covered < 1).tolist()), key=lambda x: x[0])[1])
+    return shares, covered, bound
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None) -> tuple[list[tuple[dict[int, int], int]], int, int]:
+    """Configurations (by index into ``sizes``, ascending) with multiplicities, a lower bound on containers, and how many of the first are by shares."""
+    have = counts.astype(np.int64).copy()
+    plan: list[tuple[dict[int, int], int]] = []
+    if not len(sizes):
+        return plan, 0, 0
+    shares, _, bound = fractional(sizes, counts, capacity, rounds)
+    # rounding: neighbours have their largest lengths in common, so a fraction carried on is missed little
+    carried = 0.0
+    for key, share in sorted(shares.items(), reverse=True):
+        carried += share
+        left = int(carried + 0.5)
+        carried -= left
+        while left > 0 and all(have[j] >= n for j, n in key):
+            # a share's configuration may lack a little of being full
+            config = _top_up(dict(key), sizes, have, capacity)
+            times = min([left, *(int(have[j]) // n for j, n in config.items())])
             plan.append((config, times))
+            left -= times
             for j, n in config.items():
                 have[j] -= n * times
+    by_shares = sum(times for _, times in plan)
     # the rest: the largest length with the largest that still fit, or where that leaves room, the
     # configuration that the pricing finds among what is left; as often as it goes, so each step uses up a length
     while have.any():
@@ -135,14 +206,14 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 10
         plan.append((config, times))
         for j, n in config.items():
             have[j] -= n * times
-    return plan, int(np.ceil(bound - 1e-6))
+    return plan, int(np.ceil(bound - 1e-6)), by_shares
 
 
-def make_plan(histogram: dict[int, int], capacity: int, rounds: int = 100) -> Plan:
+def make_plan(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> Plan:
     """Containers for all items of a histogram {length: items}; whole containers are left as they are."""
     sizes = np.array(sorted(k for k in histogram if 0 < k < capacity), np.int64)
     counts = np.array([histogram[int(k)] for k in sizes], np.int64)
-    configs, bound = solve(sizes, counts, capacity, rounds)
+    configs, bound, by_shares = solve(sizes, counts, capacity, rounds)
     used = np.zeros(len(sizes), np.int64)
     rows, at = [], 0
     for config, times in configs:
@@ -156,7 +227,7 @@ def make_plan(histogram: dict[int, int], capacity: int, rounds: int = 100) -> Pl
         at += full
     rows.sort()
     cols = [np.array(c, np.int64) for c in zip(*rows)] if rows else [np.empty(0, np.int64)] * 4
-    return Plan(*cols, containers=at, bound=bound + full)
+    return Plan(*cols, containers=at, bound=bound + full, by_shares=by_shares)
 
 
 # --------------------------------------------------------------------------- items
@@ -169,7 +240,7 @@ def pieces_of(lengths: DataFrame, capacity: int, id_column: str = "doc_id", size
     )
 
 
-def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, tokenizer_dir: str = TOKENIZER_DIR, rounds: int = 100) -> DataFrame:
+def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, tokenizer_dir: str = TOKENIZER_DIR, rounds: int | None = None) -> DataFrame:
     """(<id>, piece_no, n_tokens, container): every text's pieces and their containers.
 
     No container holds more than ``capacity`` tokens. A text is divided only if

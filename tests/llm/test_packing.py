@@ -65,3 +65,29 @@ def test_salted_numbers(spark, monkeypatch):
     for r in packing.pack(df, rounds=10).collect():
         load[r.container] += r.n_tokens
     assert max(load.values()) <= 2048 and sum(load.values()) == sum(i % 3 * 500 + 601 for i in range(300))
+
+
+def test_shares_cover_every_length():
+    rng = np.random.default_rng(1)
+    items = Counter(np.clip(rng.lognormal(4, 0.8, 20_000).astype(int), 1, 299).tolist())
+    sizes = np.array(sorted(items), np.int64)
+    counts = np.array([items[int(k)] for k in sizes], np.int64)
+    shares, covered, bound = packing.fractional(sizes, counts, 300)
+    got = np.zeros(len(sizes))
+    for config, share in shares.items():
+        assert sum(sizes[j] * n for j, n in config) <= 300 and all(n <= counts[j] for j, n in config)
+        for j, n in config:
+            got[j] += share * n
+    assert (covered == 1).all() and np.allclose(got, counts)
+    assert sum(shares.values()) <= bound * 1.01
+    # the shares place the most of the items, the steps after them the remainder
+    plan = packing.make_plan(items, 300)
+    check(items, plan, 300)
+    assert plan.by_shares >= 0.8 * plan.containers
+
+
+def test_shares_end_where_items_are_few():
+    for items in ({5: 1}, {30: 1, 20: 2, 1: 1}, {49: 3, 2: 1}):
+        plan = packing.make_plan(items, 50)
+        check(items, plan, 50)
+        assert plan.by_shares > 0
