@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallyweave.functions.money import finite
 from tallyweave.operators.behavior import CLUSTER_FEATURES, FEATURES
 
+_BLOCK_CELLS = 2_000_000  # distances held at once
+
 
 def scaled(features: DataFrame, columns: tuple[str, ...] = CLUSTER_FEATURES) -> DataFrame:
     """address and standardised ln(1+x) of columns (negative values as 0, population deviation, constant columns keep scale 1)."""
@@ -26,11 +28,12 @@ def _spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
     n = len(x)
     best, source = np.full(n, np.inf), np.zeros(n, np.int64)
     todo = np.ones(n, bool)
+    columns = [np.ascontiguousarray(c) for c in x.T]
     edges = np.empty((max(n - 1, 0), 3))
     at = 0
     for k in range(n - 1):
         todo[at] = False
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
+        d = np.maximum(np.maximum(np.sqrt(sum((c - c[at]) ** 2 for c in columns)), core), core[at])
         nearer = todo & (d < best)
         best[nearer], source[nearer] = d[nearer], at
         nxt = int(np.where(todo, best, np.inf).argmin())
@@ -50,9 +53,13 @@ def density_labels(x: np.ndarray, min_size: int, min_samples: int = 5) -> np.nda
         return np.full(n, -1)
     k = min(min_samples, n) - 1
     core = np.empty(n)
-    for a in range(0, n, 512):
-        d = np.sqrt(((x[a : a + 512, None] - x[None]) ** 2).sum(2))
-        core[a : a + 512] = np.partition(d, k, axis=1)[:, k]
+    block = max(1, _BLOCK_CELLS // n)
+    for a in range(0, n, block):
+        # column by column: the differences of all dimensions at once would not fit for many points
+        d = np.zeros((min(block, n - a), n))
+        for c in x.T:
+            d += (c[a : a + block, None] - c[None]) ** 2
+        core[a : a + block] = np.sqrt(np.partition(d, k, axis=1)[:, k])
     # single-linkage tree: node n+i joins two nodes at a distance
     edges = _spanning_tree(x, core)
     parent = np.arange(2 * n - 1)
@@ -132,7 +139,7 @@ def density_labels(x: np.ndarray, min_size: int, min_samples: int = 5) -> np.nda
     return labels
 
 
-def cohorts(features: DataFrame, columns: tuple[str, ...] = CLUSTER_FEATURES, min_size: int = 15, max_points: int = 20_000, seed: int = 42) -> DataFrame:
+def cohorts(features: DataFrame, columns: tuple[str, ...] = CLUSTER_FEATURES, min_size: int = 15, max_points: int = 60_000, seed: int = 42) -> DataFrame:
     """(address, cluster): density clusters fitted on at most ``max_points`` addresses, all others assigned.
 
     Half of the fitted points are the most active, half a seeded sample of the
