@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 _shipped: set[str] = set()
+_left: dict[str, list[str]] = {}  # by application: folders of tables that returned DataFrames read
 
 
 def build_session(app: str = "tallyweave", cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -69,15 +70,26 @@ class Scratch:
 
     ``keep`` writes a DataFrame and returns a reader of the written table, so
     later steps neither recompute it nor depend on blocks held by an executor.
-    ``drop`` removes tables that no remaining step reads.
+    ``drop`` removes tables that no remaining step reads. As a context manager,
+    or by ``close``, all tables go but those named by ``hold``: what the result
+    still reads stays until ``clean_up`` or the end of the program.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tw-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
+        self._held: set[str] = set()
         self._n = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is not None:
+            self._held.clear()
+        self.close()
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{name}-{self._n}"
@@ -86,16 +98,38 @@ class Scratch:
         self._paths[name] = path
         out = self.spark.read.schema(df.schema).parquet(path)
         if old:
-            self._delete(old)
+            _delete(self.spark, old)
         return out
 
+    def hold(self, *names: str) -> None:
+        """Name tables that outlive ``close``, because the returned DataFrame reads them."""
+        self._held.update(names)
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self._paths.pop(name, None)
             if path:
-                self._delete(path)
+                _delete(self.spark, path)
+
+    def close(self) -> None:
+        self.drop(*[n for n in self._paths if n not in self._held])
+        if self._paths:
+            _left.setdefault(self.spark.sparkContext.applicationId, []).append(self.root)
+        else:
+            _delete(self.spark, self.root)
+
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables that results of this session still held, and say how many folders these were.
+
+    DataFrames returned before can't be read after it, unless their rows were written elsewhere.
+    """
+    roots = _left.pop(spark.sparkContext.applicationId, [])
+    for root in roots:
+        _delete(spark, root)
+    return len(roots)
