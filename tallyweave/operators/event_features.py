@@ -2,15 +2,19 @@
 
 Entities are spread over blocks by hash; in a block they get dense ordinals. A
 position is (event type, ordinal). The counters and totals of all positions of a
-block are held as bit planes: plane k is the compressed bitmap (sorted array of
-positions) of the numbers whose bit k is set. Numbers are added to the planes by
-carry addition: the sum bit is the symmetric difference of plane and addend, the
-carry their intersection, until no carry is left. Latest times lie in an array
-aligned with the positions. Decoding reads the planes back into numbers.
-
-Scale: events are pre-aggregated in each task before the one shuffle, so an
-entity with a third of all events sends one row per type and task chunk. A block
-takes its rows in chunks, and its state grows with its entities and types only.
+block are held as bit planes: plane k is the compressed bitmap of the positions
+whose number has bit k set, in containers of 2**16 positions of one type, each
+a sorted array of 16-bit places or, where it is dense, a bit set. Events are
+counted by carry addition: of the occurrences of a position every pair is a
+carry to the next plane; the odd one is added to the plane, whose new value is
+the symmetric difference, and what both have in common is a carry as well.
+Values are added the same way, from plane to plane. Latest times lie in arrays
+aligned with the ordinals. Decoding reads the planes back into numbers.
+
+Scale: each task counts its own events in planes first, a chunk at a time, and
+sends the numbers of every position once, so an entity with a third of all
+events sends one row per type and chunk. A block adds what it gets in chunks,
+and its state grows with its entities and types only.
 """
 
 from __future__ import annotations
@@ -25,48 +29,167 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators.delivery import exactly_once
 
-BLOCK_ROWS = 1 << 15
+BLOCK_ROWS = 1 << 16
 _CHUNK_ROWS = 1 << 18
 _NEVER = np.iinfo(np.int64).min
+_ARRAY_MOST = 4096  # places of a sorted 16-bit container; a bit set takes as much room
 _PARTIAL = "block int, entity string, kind string, n long, latest long, plus long, minus long"
 _FEATURES = "map<string,struct<n:bigint,latest:bigint,total_sats:bigint>>"
 
 
+# --------------------------------------------------------------------------- compressed bitmaps
+def _bits_of(places: np.ndarray) -> np.ndarray:
+    """A bit set (1,024 words) of sorted places."""
+    one = np.zeros(1 << 16, np.uint8)
+    one[places] = 1
+    return np.packbits(one, bitorder="little").view(np.uint64)
+
+
+def _places_of(container: np.ndarray) -> np.ndarray:
+    """The sorted places of a container."""
+    if container.dtype == np.uint16:
+        return container
+    return np.flatnonzero(np.unpackbits(container.view(np.uint8), bitorder="little")).astype(np.uint16)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """The smaller form of a bit set."""
+    return bits if int(np.bitwise_count(bits).sum()) > _ARRAY_MOST else _places_of(bits)
+
+
+def _xor_and(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric difference and intersection of two containers."""
+    if a.dtype == b.dtype == np.uint16 and a.size + b.size <= _ARRAY_MOST:
+        both = np.sort(np.concatenate([a, b]), kind="stable")
+        twice = np.zeros(both.size + 1, bool)
+        np.equal(both[1:], both[:-1], out=twice[1:-1])
+        return both[~(twice[1:] | twice[:-1])], both[1:][twice[1:-1]]
+    x, y = (_bits_of(c) if c.dtype == np.uint16 else c for c in (a, b))
+    return _packed(x ^ y), _packed(x & y)
+
+
+class Bitmap:
+    """A set of positions, in containers by their high bits."""
+
+    def __init__(self) -> None:
+        self.containers: dict[int, np.ndarray] = {}
+
+    def flip(self, positions: np.ndarray) -> np.ndarray:
+        """Symmetric difference with sorted distinct positions; gives the sorted positions that both had."""
+        high = positions >> 16
+        cuts = [0, *(np.flatnonzero(np.diff(high)) + 1).tolist(), positions.size]
+        common = []
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            if z == a:
+                continue
+            key, own = int(high[a]), (positions[a:z] & 0xFFFF).astype(np.uint16)
+            have = self.containers.get(key)
+            if have is None:
+                self.containers[key] = own if own.size <= _ARRAY_MOST else _bits_of(own)
+                continue
+            left, both = _xor_and(have, own)
+            if left.size:
+                self.containers[key] = left
+            else:
+                del self.containers[key]
+            if both.size:
+                common.append(_places_of(both).astype(np.int64) | key << 16)
+        return np.concatenate(common) if common else np.empty(0, np.int64)
+
+    def positions(self) -> np.ndarray:
+        parts = [_places_of(c).astype(np.int64) | key << 16 for key, c in sorted(self.containers.items())]
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 # --------------------------------------------------------------------------- bit-sliced numbers
 class BitSlices:
     """Non-negative integers at positions, as bit planes of compressed bitmaps."""
 
     def __init__(self) -> None:
-        self.planes: list[np.ndarray] = []
-
-    def add_bit(self, positions: np.ndarray, k: int) -> None:
-        """Add 2**k at every position (sorted, distinct)."""
-        carry = positions
-        while carry.size:
-            while len(self.planes) <= k:
-                self.planes.append(np.empty(0, np.int64))
-            plane = self.planes[k]
-            if plane.size:
-                self.planes[k] = np.setxor1d(plane, carry, assume_unique=True)
-                carry = np.intersect1d(plane, carry, assume_unique=True)
-            else:
-                self.planes[k], carry = carry, plane
+        self.planes: list[Bitmap] = []
+
+    def add(self, positions: np.ndarray, numbers: np.ndarray | None = None) -> None:
+        """Add a number (without numbers, 1) at every position; positions are sorted and may repeat."""
+        top = 1 if numbers is None else int(numbers.max(initial=0)).bit_length()
+        carry, k = positions[:0], 0
+        while k < top or carry.size:
+            here = carry
+            if k < top:
+                own = positions if numbers is None else positions[(numbers >> k) & 1 == 1]
+                here = np.sort(np.concatenate([own, carry]), kind="stable") if carry.size else own
+            carry = self._add_to_plane(here, k)
             k += 1
 
-    def add(self, positions: np.ndarray, numbers: np.ndarray) -> None:
-        """Add a number at every position (sorted, distinct)."""
-        top = int(numbers.max(initial=0)).bit_length()
-        for k in range(top):
-            self.add_bit(positions[(numbers >> k) & 1 == 1], k)
+    def _add_to_plane(self, positions: np.ndarray, k: int) -> np.ndarray:
+        """Add 2**k at every position; gives the positions to add 2**(k+1) at."""
+        if not positions.size:
+            return positions
+        while len(self.planes) <= k:
+            self.planes.append(Bitmap())
+        start = np.flatnonzero(np.r_[True, positions[1:] != positions[:-1]])
+        if start.size == positions.size:
+            return self.planes[k].flip(positions)
+        times = np.diff(np.r_[start, positions.size])
+        once = positions[start]
+        pairs = np.repeat(once, times >> 1)
+        both = self.planes[k].flip(once[times & 1 == 1])
+        return np.sort(np.concatenate([pairs, both]), kind="stable") if both.size else pairs
 
     def decode(self, positions: np.ndarray) -> np.ndarray:
         """The numbers at positions, which must be sorted and cover all planes."""
         out = np.zeros(positions.size, np.int64)
         for k, plane in enumerate(self.planes):
-            out[np.searchsorted(positions, plane)] += 1 << k
+            out[np.searchsorted(positions, plane.positions())] += 1 << k
         return out
 
 
+class Counters:
+    """Counts, totals and latest times of (kind, ordinal) positions."""
+
+    def __init__(self) -> None:
+        self.n, self.plus, self.minus = BitSlices(), BitSlices(), BitSlices()
+        self.latest: dict[int, np.ndarray] = {}
+
+    def add(self, kind: np.ndarray, ordinal: np.ndarray, n: np.ndarray | None, latest: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> None:
+        """Add rows; without ``n`` every row is one event. A missing time is ``_NEVER``."""
+        # containers hold one kind each: the ordinal's high bits follow the kind
+        at = (kind.astype(np.int64) << 32) | ordinal
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        self.n.add(at, None if n is None else n[order])
+        for slices, v in ((self.plus, plus), (self.minus, minus)):
+            if v.any():
+                slices.add(at, v[order])
+        if not at.size:
+            return
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        best = np.maximum.reduceat(latest[order], start)
+        once = at[start][best != _NEVER]
+        best = best[best != _NEVER]
+        for k in np.unique(once >> 32).tolist():
+            a, z = np.searchsorted(once, [k << 32, (k + 1) << 32])
+            place = once[a:z] & 0xFFFFFFFF
+            have = self.latest.get(k)
+            if have is None or len(have) <= place[-1]:
+                grown = np.full(max(int(place[-1]) + 1, 2 * (0 if have is None else len(have))), _NEVER)
+                grown[: 0 if have is None else len(have)] = _NEVER if have is None else have
+                have = self.latest[k] = grown
+            have[place] = np.maximum(have[place], best[a:z])
+
+    def decode(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """kind, ordinal, n, latest, plus and minus of all positions, by kind and ordinal."""
+        # every event counts, so the planes of the counters hold all positions
+        parts = [p.positions() for p in self.n.planes]
+        at = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+        kind, ordinal = at >> 32, at & 0xFFFFFFFF
+        latest = np.full(at.size, _NEVER)
+        for k, times in self.latest.items():
+            a, z = np.searchsorted(at, [k << 32, (k + 1) << 32])
+            own = a + np.flatnonzero(ordinal[a:z] < len(times))
+            latest[own] = times[ordinal[own]]
+        return kind, ordinal, self.n.decode(at), latest, self.plus.decode(at), self.minus.decode(at)
+
+
 # --------------------------------------------------------------------------- Spark steps
 def typed_events(tx: DataFrame) -> DataFrame:
     """(entity, kind, time, value) of every input and output of the kept copies.
@@ -94,23 +217,35 @@ def typed_events(tx: DataFrame) -> DataFrame:
     )
 
 
-def _combine(table: pa.Table) -> pa.Table:
-    g = table.group_by(["block", "entity", "kind"], use_threads=False).aggregate([("n", "sum"), ("latest", "max"), ("plus", "sum"), ("minus", "sum")])
-    return g.select(["block", "entity", "kind", "n_sum", "latest_max", "plus_sum", "minus_sum"]).rename_columns(["block", "entity", "kind", "n", "latest", "plus", "minus"])
+def _times(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, _NEVER).to_numpy(zero_copy_only=False)
 
 
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per entity and kind of each chunk of a task."""
+    """One row per entity and kind of each chunk of a task, counted in planes."""
+
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        entity, kind = (pc.dictionary_encode(t[c]).combine_chunks() for c in ("entity", "kind"))
+        value = pc.fill_null(t["value"], 0).to_numpy()
+        c = Counters()
+        c.add(kind.indices.to_numpy(), entity.indices.to_numpy(), None, _times(t["latest"]), np.maximum(value, 0), np.maximum(-value, 0))
+        k, o, n, latest, plus, minus = c.decode()
+        block = np.empty(len(entity.dictionary), np.int32)
+        block[entity.indices.to_numpy()] = t["block"].to_numpy()
+        columns = [pa.array(block[o]), entity.dictionary.take(pa.array(o)), kind.dictionary.take(pa.array(k)), pa.array(n), pa.array(latest, mask=latest == _NEVER), pa.array(plus), pa.array(minus)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "entity", "kind", "n", "latest", "plus", "minus"])
+
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
         held.append(b)
         rows += b.num_rows
         if rows >= _CHUNK_ROWS:
-            yield from _combine(pa.Table.from_batches(held)).to_batches()
+            yield counted(held)
             held, rows = [], 0
-    if held:
-        yield from _combine(pa.Table.from_batches(held)).to_batches()
+    if rows:
+        yield counted(held)
 
 
 class _Block:
@@ -119,49 +254,28 @@ class _Block:
     def __init__(self) -> None:
         self.ordinals: dict[str, int] = {}
         self.kinds: dict[str, int] = {}
-        self.slices = {c: BitSlices() for c in ("n", "plus", "minus")}
-        self.latest: dict[int, np.ndarray] = {}
+        self.counters = Counters()
 
     def add(self, batches: list[pa.RecordBatch]) -> None:
-        table = _combine(pa.Table.from_batches(batches))  # one row per position
-        names, kinds = self.ordinals, self.kinds
-        ordinal = np.array([names.setdefault(e, len(names)) for e in table["entity"].to_pylist()], np.int64)
-        coded = pc.dictionary_encode(table["kind"]).combine_chunks()
-        code = np.array([kinds.setdefault(k, len(kinds)) for k in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
-        at = (code << 32) | ordinal
-        order = np.argsort(at)
-        for c, s in self.slices.items():
-            s.add(at[order], pc.fill_null(table[c], 0).to_numpy()[order])
-        time, seen = pc.fill_null(table["latest"], 0).to_numpy(), pc.is_valid(table["latest"]).to_numpy()
-        for k in np.unique(code[seen]).tolist():
-            own = seen & (code == k)
-            have = self.latest.get(k)
-            if have is None or len(have) < len(names):
-                grown = np.full(max(len(names), 2 * (0 if have is None else len(have))), _NEVER)
-                grown[: 0 if have is None else len(have)] = _NEVER if have is None else have
-                have = self.latest[k] = grown
-            have[ordinal[own]] = np.maximum(have[ordinal[own]], time[own])
+        t = pa.Table.from_batches(batches)
+        at = []
+        for column, names in (("kind", self.kinds), ("entity", self.ordinals)):
+            coded = pc.dictionary_encode(t[column]).combine_chunks()
+            own = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.int64)
+            at.append(own[coded.indices.to_numpy()])
+        n, plus, minus = (t[c].to_numpy() for c in ("n", "plus", "minus"))
+        self.counters.add(*at, n, _times(t["latest"]), plus, minus)
 
     def decode(self) -> pa.RecordBatch:
-        # every event counts, so the planes of the counters hold all positions
-        base = np.unique(np.concatenate(self.slices["n"].planes))
-        base = base[np.lexsort((base >> 32, base & 0xFFFFFFFF))]
-        by_position = np.argsort(base)
-        numbers = {}
-        for c, s in self.slices.items():
-            numbers[c] = np.empty(base.size, np.int64)
-            numbers[c][by_position] = s.decode(base[by_position])
-        code, ordinal = base >> 32, base & 0xFFFFFFFF
-        latest = np.full(base.size, _NEVER)
-        for k, times in self.latest.items():
-            own = np.flatnonzero((code == k) & (ordinal < len(times)))
-            latest[own] = times[ordinal[own]]
+        kind, ordinal, n, latest, plus, minus = self.counters.decode()
+        by = np.lexsort((kind, ordinal))
+        latest = latest[by]
         items = pa.StructArray.from_arrays(
-            [pa.array(numbers["n"]), pa.array(latest, mask=latest == _NEVER), pa.array(numbers["plus"] - numbers["minus"])],
+            [pa.array(n[by]), pa.array(latest, mask=latest == _NEVER), pa.array((plus - minus)[by])],
             fields=[pa.field("n", pa.int64()), pa.field("latest", pa.int64()), pa.field("total_sats", pa.int64())],
         )
         offsets = np.r_[0, np.cumsum(np.bincount(ordinal, minlength=len(self.ordinals)))].astype(np.int32)
-        features = pa.MapArray.from_arrays(pa.array(offsets), pa.array(list(self.kinds), pa.string()).take(pa.array(code)), items)
+        features = pa.MapArray.from_arrays(pa.array(offsets), pa.array(list(self.kinds), pa.string()).take(pa.array(kind[by])), items)
         return pa.RecordBatch.from_arrays([pa.array(list(self.ordinals), pa.string()), features], ["address", "features"])
 
 
@@ -198,22 +312,14 @@ def event_features(tx: DataFrame) -> DataFrame:
     gives no rows.
     """
     spark = tx.sparkSession
+    # the number of tasks follows the rows, so what one of them reads does not
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * tx.count() // BLOCK_ROWS + 1)
-    value = F.coalesce("value", F.lit(0))
     partial = (
         typed_events(tx)
-        .select(
-            F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int").alias("block"),
-            "entity",
-            "kind",
-            F.lit(1).cast("long").alias("n"),
-            F.col("time").alias("latest"),
-            F.greatest(value, F.lit(0)).alias("plus"),
-            F.greatest(-value, F.lit(0)).alias("minus"),
-        )
+        .select(F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int").alias("block"), "entity", "kind", F.col("time").alias("latest"), "value")
         .mapInArrow(_partials, _PARTIAL)
     )
-    return partial.repartition("block").sortWithinPartitions("block").mapInArrow(_fold, f"address string, features {_FEATURES}")
+    return partial.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_fold, f"address string, features {_FEATURES}")
 
 
 def feature_rows(features: DataFrame) -> DataFrame:

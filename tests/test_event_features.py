@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyweave.operators.event_features import BitSlices, event_features, feature_rows
+from tallyweave.operators.event_features import BitSlices, Bitmap, Counters, event_features, feature_rows
 
 TX = (
     "delivery_id long, txid string, time long, provenance struct<source: string>, inputs array<struct<address: string, value_sats: long>>, "
@@ -23,6 +23,47 @@ def test_carry_addition(pairs):
     assert s.decode(at).tolist() == [want[p] for p in at]
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 3 << 16), st.integers(0, 2**50)), max_size=80), max_size=4))
+def test_repeated_positions_add_up(chunks):
+    s, ones, want, times = BitSlices(), BitSlices(), defaultdict(int), defaultdict(int)
+    for pairs in chunks:
+        pairs.sort()
+        at, numbers = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        s.add(at, numbers)
+        ones.add(at)
+        for p, v in pairs:
+            want[p] += v
+            times[p] += 1
+    at = np.array(sorted(want), np.int64)
+    assert s.decode(at).tolist() == [want[p] for p in at] and ones.decode(at).tolist() == [times[p] for p in at]
+
+
+def test_containers_stay_compressed():
+    rng = np.random.default_rng(0)
+    b, have = Bitmap(), set()
+    for size in (10, 3000, 60_000, 40_000, 3, 65_000):
+        new = np.unique(rng.integers(1 << 17, 3 << 16, size))
+        common = b.flip(new)
+        assert common.tolist() == sorted(have & set(new.tolist()))
+        have ^= set(new.tolist())
+        assert b.positions().tolist() == sorted(have)
+        for c in b.containers.values():
+            n = c.size if c.dtype == np.uint16 else int(np.bitwise_count(c).sum())
+            assert (c.dtype == np.uint16) == (n <= 4096) and c.nbytes <= 8192
+    b.flip(b.positions())
+    assert not b.containers
+
+
+def test_counters_count_a_hot_position():
+    n = 100_000
+    c = Counters()
+    zero = np.zeros(n, np.int64)
+    c.add(zero, zero, None, np.arange(n), zero + 7, zero)
+    assert [x.tolist() for x in c.decode()] == [[0], [0], [n], [n - 1], [7 * n], [0]]
+    assert sum(len(p.containers) for p in c.n.planes) == n.bit_count()
+
+
 def brute(rows):
     first = {}
     for r in sorted(rows, key=lambda r: r[0]):
@@ -52,6 +93,16 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_a_block_for_so_many_rows(spark, monkeypatch):
+    """The number of tasks follows the rows, and adaptive execution does not join them again."""
+    from tallyweave.operators import event_features as ef
+
+    monkeypatch.setattr(ef, "BLOCK_ROWS", 40)
+    rows = [(i, f"t{i}", i + 1, ("s",), [(f"a{i}", i)], None, "x", 1) for i in range(300)]
+    got = event_features(spark.createDataFrame(rows, TX))
+    assert got.count() == 300 and got.rdd.getNumPartitions() == 4 * 300 // 40 + 1
+
+
 def test_empty(spark):
     assert event_features(spark.createDataFrame([], TX)).count() == 0
 
