@@ -10,16 +10,22 @@ Two forms of input are handled: typed columns (``flatten_typed``, the schema is
 the DataFrame's own) and JSON bodies (``flatten_json``, the schema is merged
 over all bodies first). Nothing is collected but the merged schema, whose size
 is the number of distinct member paths, not of records.
+
+The merged schema is inferred by built-in functions: each record gives the text
+of its own shape, shapes are made distinct, and the few that are left are merged.
+Only records whose shape contradicts itself are looked through value by value.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,17 +96,17 @@ class Node:
         return "array" in self.kinds
 
     def scalar_type(self) -> str | None:
-        """SQL type of the scalar values: text that holds whole numbers counts as such."""
+        """SQL type of the scalar values; "number" where numbers and text occur."""
         seen = self.kinds - {"array", "object", "null"}
         if not seen:
             return None
         if seen == {"boolean"}:
             return "boolean"
-        if seen <= {"whole", "whole_text"} and "whole" in seen:
-            return "bigint"
-        if seen <= {"whole", "whole_text", "real"} and seen & {"whole", "real"}:
-            return "double"
-        return "string"
+        if "text" in seen:
+            return "number" if seen & {"whole", "real"} and "boolean" not in seen else "string"
+        if "boolean" in seen:
+            return "string"
+        return "bigint" if seen == {"whole"} else "double"
 
 
 def parsed(body: Column) -> Column:
@@ -113,46 +119,98 @@ def parsed(body: Column) -> Column:
     return F.when(whole == 1, F.try_parse_json(body))
 
 
-def _kinds_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: set[tuple[str, str]] = set()
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the expressions that are analysed meanwhile; it is as before afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _kind(v: object) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, int):
+        return "whole" if -(2**63) <= v < 2**63 else "real"
+    if isinstance(v, float):
+        return "whole" if v.is_integer() and abs(v) < 2**53 else "real"
+    if isinstance(v, str):
+        return "text"
+    return "array" if isinstance(v, list) else "object"
+
+
+def _kinds_of_values(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
+    """Every (path, kind) of one record."""
+    todo: list[tuple[tuple[str, ...], object]] = [((), json.loads(text))]
+    while todo:
+        path, v = todo.pop()
+        yield path, _kind(v)
+        if isinstance(v, dict):
+            todo += [((*path, "." + k), x) for k, x in v.items()]
+        elif isinstance(v, list):
+            todo += [((*path, "[]"), x) for x in v]
+
+
+_SCALARS = {"BOOLEAN": "boolean", "BIGINT": "whole", "DOUBLE": "real", "FLOAT": "real", "STRING": "text", "VOID": "null"}
+_TOKEN = re.compile(r"`((?:[^`]|``)*)`|([^<>,:` ]+)|([<>,:])")
+
+
+def _kinds_of_shape(shape: str) -> Iterator[tuple[tuple[str, ...], str]]:
+    """Every (path, kind) of a shape as ``schema_of_variant`` writes it."""
+    # names in backticks are told from words and signs
+    tokens = [(True, m[1].replace("``", "`")) if m[1] is not None else (False, m[2] or m[3]) for m in _TOKEN.finditer(shape)]
+    at = 0
+
+    def read(path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], str]]:
+        nonlocal at
+        word = tokens[at][1]
+        at += 1
+        if word not in ("OBJECT", "ARRAY"):
+            yield path, _SCALARS.get(word, "real" if word.startswith("DECIMAL") else "text")
+            return
+        yield path, word.lower()
+        at += 1  # <
+        while tokens[at] != (False, ">"):
+            if word == "ARRAY":
+                yield from read((*path, "[]"))
+            else:
+                name = tokens[at][1]
+                at += 2  # name and colon
+                yield from read((*path, "." + name))
+            if tokens[at] == (False, ","):
+                at += 1
+        at += 1
+
+    return read(())
 
-    def kind(v: object) -> str:
-        if v is None:
-            return "null"
-        if isinstance(v, bool):
-            return "boolean"
-        if isinstance(v, int):
-            return "whole" if -(2**63) <= v < 2**63 else "real"
-        if isinstance(v, float):
-            return "whole" if v.is_integer() and abs(v) < 2**53 else "real"
-        if isinstance(v, str):
-            t = v.strip().lstrip("+-")
-            return "whole_text" if t.isascii() and t.isdigit() and len(t) < 19 else "string"
-        return "array" if isinstance(v, list) else "object"
 
+def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: set[tuple[str, str]] = set()
     for pdf in batches:
-        for text in pdf.iloc[:, 0]:
-            if text is None:
-                continue
-            todo: list[tuple[tuple[str, ...], object]] = [((), json.loads(text))]
-            while todo:
-                path, v = todo.pop()
-                seen.add((json.dumps(path), kind(v)))
-                if isinstance(v, dict):
-                    todo += [((*path, "." + k), x) for k, x in v.items()]
-                elif isinstance(v, list):
-                    todo += [((*path, "[]"), x) for x in v]
+        for shape, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+            seen.update((json.dumps(p), k) for p, k in (_kinds_of_values(text) if text is not None else _kinds_of_shape(shape)))
     yield pd.DataFrame(sorted(seen), columns=["path", "kind"])
 
 
-def infer_schema(values: DataFrame, column: str, max_paths: int = 20_000) -> Node:
+def infer_schema(values: DataFrame, column: str, max_paths: int = 100_000) -> Node:
     """Merge the schemas of all variants of a column.
 
-    Each task reduces its records to (path, kind) pairs, which are made distinct
-    before the driver reads them. More than ``max_paths`` pairs raise an error
-    (member names then are data), so that nothing is silently left out.
+    Records are reduced to distinct shapes before anything leaves the tasks'
+    partial aggregates; those whose shape says VARIANT somewhere (one list holds
+    values of several kinds) come with their text and are read value by value.
+    The driver gets distinct (path, kind) pairs. More than ``max_paths`` of them
+    raise an error (member names then are data), so that nothing is silently
+    left out. Text counts as text; ``flatten_json`` looks whether it is numbers.
     """
-    pairs = values.select(F.to_json(column).alias("v")).mapInPandas(_kinds_of, "path string, kind string").distinct().limit(max_paths + 1).collect()
+    shape = F.regexp_replace(F.schema_of_variant(column), r"DECIMAL\(\d+,\d+\)", "DOUBLE")
+    mixed = F.concat(F.lit(" "), shape).rlike(r"[ <]VARIANT\b")
+    shapes = values.where(F.col(column).isNotNull()).select(shape.alias("shape"), F.when(mixed, F.to_json(column)).alias("text")).distinct()
+    pairs = shapes.mapInPandas(_kinds, "path string, kind string").distinct().limit(max_paths + 1).collect()
     if len(pairs) > max_paths:
         raise ValueError(f"more than {max_paths} member paths: the bodies use data as member names")
     root = Node()
@@ -168,68 +226,120 @@ def infer_schema(values: DataFrame, column: str, max_paths: int = 20_000) -> Nod
     return root
 
 
-def as_list(v: Column, path: str = "$") -> Column:
-    """A member as array<variant>; a bare object counts as a list of one, null and scalars as none."""
+def as_list(v: Column, path: str = "$", scalars: bool = False) -> Column:
+    """A member as array<variant>; a bare object counts as a list of one, so does a bare scalar if wanted; null as none."""
     one = F.try_variant_get(v, path, "variant")
     # a cast to map succeeds for objects only
-    return F.coalesce(
-        F.try_variant_get(v, path, "array<variant>"),
-        F.when(F.try_variant_get(v, path, "map<string,variant>").isNotNull(), F.array(one)),
-    )
+    bare = ~F.is_variant_null(one) if scalars else F.try_variant_get(v, path, "map<string,variant>").isNotNull()
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(bare, F.array(one)))
 
 
 def _at(path: tuple[str, ...]) -> str:
     return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in path)
 
 
-def flatten_json(df: DataFrame, key: str, column: str, name: str = "root", schema: Node | None = None) -> dict[str, DataFrame]:
+def _merged(a: Node, b: Node) -> Node:
+    """The schema of values of either of two."""
+    members = {k: _merged(a.members[k], b.members[k]) if k in a.members and k in b.members else a.members.get(k) or b.members[k] for k in {**a.members, **b.members}}
+    element = _merged(a.element, b.element) if a.element and b.element else a.element or b.element
+    return Node(a.kinds | b.kinds, members, element)
+
+
+def child_lists(node: Node, synonyms: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, Node, Column]]:
+    """(name, schema of the elements, list of variants) of every list that a record of this schema holds at its own level.
+
+    ``synonyms`` maps a name to the member names that mean the same; their
+    values are one list, the first that is a list or an object counting. Only
+    the names that the merged schema knows are looked for.
+    """
+    found: list[tuple[str, Node, Column]] = []
+    e = F.col("_e")
+
+    def element_of(n: Node) -> Node:
+        element = n.element or Node()
+        # what stands bare in some records is an element there
+        return _merged(element, Node(n.kinds - {"array", "null"}, n.members, None))
+
+    def walk(n: Node, path: tuple[str, ...]) -> None:
+        if n.is_list:
+            found.append(("__".join(path) or "list", element_of(n), as_list(e, _at(path), scalars=True)))
+            return
+        for k, m in sorted(n.members.items()):
+            if path or not any(k in names for names in (synonyms or {}).values()):
+                walk(m, (*path, k))
+
+    walk(node, ())
+    for name, names in (synonyms or {}).items():
+        known = [k for k in names if k in node.members]
+        if known:
+            schema = element_of(node.members[known[0]])
+            for k in known[1:]:
+                schema = _merged(schema, element_of(node.members[k]))
+            found.append((name, schema, F.coalesce(*[as_list(e, _at((k,))) for k in known])))
+    return found
+
+
+def explode_lists(df: DataFrame, lists: list[tuple[str, Node, Column]], head: list[str | Column]) -> DataFrame:
+    """Rows of several sibling child tables by one pass over their parents: ``head``, _list, _ord and the element _e."""
+
+    def tagged(name: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<variant>")), lambda x, i: F.struct(F.lit(name).alias("l"), i.alias("i"), x.alias("x")))
+
+    rows = df.select(*head, F.explode(F.concat(*[tagged(name, values) for name, _, values in lists])).alias("_x"))
+    return rows.withColumns({"_list": F.col("_x.l"), "_ord": F.col("_x.i"), "_e": F.col("_x.x")}).drop("_x").where("_e is not null and not is_variant_null(_e)")
+
+
+def flatten_json(df: DataFrame, key: str, column: str, name: str = "root", schema: Node | None = None, synonyms: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
     """Flat tables of a variant column; ``key`` is unique per row.
 
     The merged schema decides: a path that is a list in any record is a list in
-    all (a bare object is a list of one). Scalar columns take the narrowest type
-    that holds every value, numbers as text included. Rows whose variant is null
-    give nothing; the key alone remains for objects without known members.
+    all (a bare object or scalar is a list of one). Scalar columns take the
+    narrowest type that holds every value, numbers as text included. Rows whose
+    variant is null give nothing; the key alone remains for objects without
+    known members. ``synonyms`` are those of ``child_lists``, for the records
+    themselves.
     """
     schema = schema or infer_schema(df, column)
     root = df.where(F.col(column).isNotNull()).select(F.col(key).cast("string").alias("_key"), F.col(column).alias("_e"))
-    return _json(root, schema, name, ["_key"])
+    return _json(root, schema, name, ["_key"], synonyms)
 
 
-def _json(df: DataFrame, node: Node, name: str, head: list[str]) -> dict[str, DataFrame]:
-    flat, lists = [], []
+def _json(df: DataFrame, node: Node, name: str, head: list[str], synonyms: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
+    flat: list[tuple[tuple[str, ...], str]] = []
+    lists = child_lists(node, synonyms)
+    apart = {k for names in (synonyms or {}).values() for k in names}
 
     def walk(n: Node, path: tuple[str, ...]) -> None:
-        if n.is_list:
-            lists.append((path, n))
+        if n.is_list or (len(path) == 1 and path[0] in apart):
             return
         if kind := n.scalar_type():
-            flat.append((path or ("value",), F.try_variant_get("_e", _at(path), kind)))
+            flat.append((path, kind))
         for k, m in sorted(n.members.items()):
             walk(m, (*path, k))
 
     walk(node, ())
-    names = _unique(["__".join(p) for p, _ in flat])
-    out = {name: df.select(*head, *[c.alias(n) for n, (_, c) in zip(names, flat)])}
-    for path, n in lists:
-        step = "__".join(path) or "list"
-        element = n.element or Node()
-        bare = Node(element.kinds | (n.kinds - {"array"}), {**n.members, **element.members}, element.element)
-        child = (
-            df.select(F.col("_key").alias("_parent"), F.posexplode(as_list(F.col("_e"), _at(path))).alias("_ord", "_e"))
-            .where("_e is not null and not is_variant_null(_e)")
-            .withColumn("_key", F.concat("_parent", F.lit(f"/{step}."), F.col("_ord")))
+    get = lambda p, kind: F.try_variant_get("_e", _at(p), kind)
+    # numbers and text under one name: a number column if all the text is numbers, by one pass for all of them
+    both = [p for p, kind in flat if kind == "number"]
+    if both:
+        fits = lambda p, pattern: F.coalesce(F.bool_and(get(p, "string").rlike(pattern)), F.lit(True))
+        tests = df.select([f(p, x).alias(f"{k}{i}") for i, p in enumerate(both) for k, f, x in (("w", fits, r"^[+-]?\d{1,18}$"), ("r", fits, r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"))]).first()
+        chosen = {p: "bigint" if tests[f"w{i}"] else "double" if tests[f"r{i}"] else "string" for i, p in enumerate(both)}
+        flat = [(p, chosen.get(p, kind)) for p, kind in flat]
+    names = _unique(["__".join(p) or "value" for p, _ in flat])
+    out = {name: df.select(*head, *[get(p, kind).alias(n) for n, (p, kind) in zip(names, flat)])}
+    for step, element, values in lists:
+        child = explode_lists(df, [(step, element, values)], [F.col("_key").alias("_parent")]).select(
+            "_parent", "_ord", "_e", F.concat("_parent", F.lit(f"/{step}."), F.col("_ord").cast("string")).alias("_key")
         )
-        out |= _json(child, bare, f"{name}.{step}", ["_key", "_parent", "_ord"])
+        out |= _json(child, element, f"{name}.{step}", ["_key", "_parent", "_ord"])
     return out
 
 
 # --------------------------------------------------------------------------- ledger transactions
 IN_NAMES = ("vin", "inputs")
 OUT_NAMES = ("vout", "outputs", "out")
-
-
-def _first_list(v: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*[as_list(v, f"$.{n}") for n in names])
+SIDES = {"in": IN_NAMES, "out": OUT_NAMES}
 
 
 def unwrap_bodies(raw: DataFrame) -> DataFrame:
@@ -238,8 +348,6 @@ def unwrap_bodies(raw: DataFrame) -> DataFrame:
     A body is one transaction, or wraps several in a top-level array, in ``txs``,
     in ``tx`` or in the ``tx`` members of ``data.items``.
     """
-    # JSON lets a member name repeat; the last one counts
-    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     body = F.col("_b")
     items = F.try_variant_get(body, "$.data.items", "variant")
     many = F.coalesce(
@@ -252,23 +360,25 @@ def unwrap_bodies(raw: DataFrame) -> DataFrame:
     # a wrapper without transactions is none itself, unless it has lists of its own
     own = has((*IN_NAMES, *OUT_NAMES)) | ~has(("txs", "tx", "data"))
     single = F.when(own & F.try_variant_get(body, "$", "map<string,variant>").isNotNull(), F.array(body))
-    return (
-        raw.select("record_id", parsed(F.col("body")).alias("_b"))
-        .where("_b is not null")
-        .select("record_id", F.posexplode(F.coalesce(many, single)).alias("tx_pos", "tx"))
-        .where("tx is not null and not is_variant_null(tx)")
-    )
+    # JSON lets a member name repeat; the last one counts
+    with _setting(raw.sparkSession, "spark.sql.variant.allowDuplicateKeys", "true"):
+        bodies = raw.select("record_id", parsed(F.col("body")).alias("_b")).where("_b is not null")
+    return bodies.select("record_id", F.posexplode(F.coalesce(many, single)).alias("tx_pos", "tx")).where("tx is not null and not is_variant_null(tx)")
 
 
-def raw_children(raw: DataFrame, side: str) -> DataFrame:
-    """One row per non-null list element of the raw bodies: record, place of its transaction, own place, element."""
-    names = IN_NAMES if side == "in" else OUT_NAMES
-    return (
-        unwrap_bodies(raw)
-        .select("record_id", "tx_pos", F.posexplode(_first_list(F.col("tx"), names)).alias("item_pos", "e"))
-        .where("e is not null and not is_variant_null(e)")
-        .select("record_id", "tx_pos", F.lit(side).alias("side"), "item_pos", "e")
-    )
+def raw_children(raw: DataFrame) -> DataFrame:
+    """Both child tables of the raw bodies' transactions in one: record, place of its transaction, side, own place, element.
+
+    The lists are those that the merged schema of all transactions names, under
+    whatever name each record has them; every body is parsed and exploded once.
+    """
+    txs = unwrap_bodies(raw)
+    lists = [x for x in child_lists(infer_schema(txs, "tx"), SIDES) if x[0] in SIDES]
+    parents = txs.select("record_id", "tx_pos", F.col("tx").alias("_e"))
+    if not lists:
+        return parents.limit(0).select("record_id", "tx_pos", F.lit("in").alias("side"), F.lit(0).alias("item_pos"), F.col("_e").alias("e"))
+    rows = explode_lists(parents, lists, ["record_id", "tx_pos"])
+    return rows.select("record_id", "tx_pos", F.col("_list").alias("side"), F.col("_ord").alias("item_pos"), F.col("_e").alias("e"))
 
 
 def tx_children(tx: DataFrame, side: str) -> DataFrame:
@@ -280,17 +390,11 @@ def tx_children(tx: DataFrame, side: str) -> DataFrame:
 
 def child_rows(tx: DataFrame, raw: DataFrame) -> DataFrame:
     """Every input and output of both sources with its record, transaction and place."""
-    parts = []
-    for side in ("in", "out"):
-        parts.append(
-            tx_children(tx, side).select(
-                F.lit("tx").alias("origin"), F.col("delivery_id").alias("row_id"), F.lit(0).alias("tx_pos"), "side", F.col("_ord").alias("item_pos")
-            )
+    out = raw_children(raw).select(F.lit("raw_tx").alias("origin"), F.col("record_id").alias("row_id"), "tx_pos", "side", "item_pos")
+    for side in SIDES:
+        out = out.unionByName(
+            tx_children(tx, side).select(F.lit("tx").alias("origin"), F.col("delivery_id").alias("row_id"), F.lit(0).alias("tx_pos"), "side", F.col("_ord").alias("item_pos"))
         )
-        parts.append(raw_children(raw, side).select(F.lit("raw_tx").alias("origin"), F.col("record_id").alias("row_id"), "tx_pos", "side", "item_pos"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     return out
 
 
@@ -301,18 +405,14 @@ def transfers(tx: DataFrame, raw: DataFrame) -> DataFrame:
     whole = lambda p: F.try_variant_get(e, p, "bigint")
     address = F.coalesce(*map(text, ("$.address", "$.addr", "$.scriptpubkey_address", "$.prevout.scriptpubkey_address", "$.prev_out.addr")))
     value = F.coalesce(*map(whole, ("$.value_sats", "$.value", "$.prevout.value", "$.prev_out.value")))
-    parts = []
-    for side in ("in", "out"):
+    out = raw_children(raw).select(F.lit("raw_tx").alias("origin"), F.col("record_id").alias("row_id"), "tx_pos", "side", "item_pos", address.alias("address"), value.alias("value_sats"))
+    for side in SIDES:
         t = tx_children(tx, side)
-        parts.append(t.select(F.lit("tx").alias("origin"), F.col("delivery_id").alias("row_id"), F.lit(0).alias("tx_pos"), "side", F.col("_ord").alias("item_pos"), "address", "value_sats"))
-        parts.append(raw_children(raw, side).select(F.lit("raw_tx").alias("origin"), F.col("record_id").alias("row_id"), "tx_pos", "side", "item_pos", address.alias("address"), value.alias("value_sats")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(t.select(F.lit("tx").alias("origin"), F.col("delivery_id").alias("row_id"), F.lit(0).alias("tx_pos"), "side", F.col("_ord").alias("item_pos"), "address", "value_sats"))
     return out
 
 
-def raw_tables(raw: DataFrame) -> dict[str, DataFrame]:
+def raw_tables(raw: DataFrame, synonyms: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
     """All flat tables of the raw bodies at any depth, by the merged schema."""
     txs = unwrap_bodies(raw).select(F.concat_ws("/", "record_id", "tx_pos").alias("k"), "tx")
-    return flatten_json(txs, "k", "tx", "tx")
+    return flatten_json(txs, "k", "tx", "tx", synonyms=synonyms)

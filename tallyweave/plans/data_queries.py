@@ -30,6 +30,19 @@ def p3_raw_tables(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("table_name").agg(F.count("*").alias("n_rows"), F.count_distinct("_key").alias("n_keys"))
 
 
+def p3_flat_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The contents of those tables: key, parent, place and the columns as JSON (null ones left out)."""
+    parts = []
+    for name, t in nested.raw_tables(table(spark, folder, "raw_tx"), nested.SIDES).items():
+        own = [F.col(f"`{c}`") for c in t.columns if c not in ("_key", "_parent", "_ord")]
+        parent, place = (F.col(c) if c in t.columns else F.lit(None).cast(kind) for c, kind in (("_parent", "string"), ("_ord", "int")))
+        parts.append(t.select(F.lit(name).alias("table_name"), "_key", parent.alias("parent_key"), place.alias("place"), (F.to_json(F.struct(*own)) if own else F.lit("{}")).alias("fields")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumnRenamed("_key", "row_key")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return delivery.surplus_pairs(table(spark, folder, "tx"))
 
@@ -48,7 +61,7 @@ def p7_feature_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p3_found, p3_transfers, p3_raw_tables, p4_found, p4_exactly_once, p7_features, p7_feature_rows)
+    f.__name__: f for f in (p3_found, p3_transfers, p3_raw_tables, p3_flat_rows, p4_found, p4_exactly_once, p7_features, p7_feature_rows)
 }
 
 _ID = "nullif(lower(trim(txid)), '')"
@@ -91,6 +104,24 @@ SQL: dict[str, str] = {
 select 'tx' origin, delivery_id row_id, 0::int tx_pos, side, item_pos::int item_pos from tx_items where e is not null
 union all select 'tx', delivery_id, 0, side, item_pos::int from tx_outs where e is not null
 union all select 'raw_tx', record_id, tx_pos::int, side, item_pos::int from raw_items where e is not null and json_type(e) <> 'NULL'""",
+    "p3_transfers": f"""with {_RAW}, {_CHILDREN}
+select 'tx' origin, delivery_id row_id, 0::int tx_pos, side, item_pos::int item_pos, e.address address, e.value_sats value_sats from tx_items where e is not null
+union all select 'tx', delivery_id, 0, side, item_pos::int, e.address, e.value_sats from tx_outs where e is not null
+union all select 'raw_tx', record_id, tx_pos::int, side, item_pos::int,
+  coalesce(e->>'$.address', e->>'$.addr', e->>'$.scriptpubkey_address', e->>'$.prevout.scriptpubkey_address', e->>'$.prev_out.addr'),
+  coalesce(try_cast(e->>'$.value_sats' as bigint), try_cast(e->>'$.value' as bigint), try_cast(e->>'$.prevout.value' as bigint), try_cast(e->>'$.prev_out.value' as bigint))
+from raw_items where e is not null and json_type(e) <> 'NULL'""",
+    # a path without its list places; lists don't hold lists in these bodies
+    "p3_raw_tables": f"""with {_RAW},
+good as (select t from txs where t is not null and json_type(t) <> 'NULL'),
+tree as (select regexp_replace(substr(j.fullkey, 2), '\\[[0-9]+\\]', '', 'g') p, j.type k from good, json_tree(good.t) j),
+paths as (select distinct p from tree where k = 'ARRAY'),
+counted as (select p, count(*) n from tree where p in (select p from paths) and k not in ('ARRAY', 'NULL') group by 1),
+steps as (select p, n, unnest(range(2, len(string_split(p, '.')) + 1)) i, string_split(p, '.') s from counted),
+parted as (select t.p, n, i, s[i] own, x.p is not null under from (select *, array_to_string(s[1:i - 1], '.') before from steps) t left join paths x on x.p = t.before),
+named as (select p, n, string_agg(case when i = 2 or under then '.' else '__' end || own, '' order by i) suffix from parted group by 1, 2)
+select 'tx' table_name, count(*) n_rows, count(*) n_keys from good
+union all select 'tx' || suffix, n, n from named""",
     "p4_found": f"""with k as (select {_ID} k, delivery_id d from tx),
 f as (select k, min(d) f from k where k is not null group by k)
 select f first_delivery_id, d delivery_id from k join f using (k) where d <> f""",
