@@ -7,10 +7,13 @@ cover the histogram) is solved approximately by multiplicative weights: every
 length has a weight that falls as it gets covered, and a knapsack dynamic
 program prices configurations under these weights, until every length is covered
 in full. Rounding carries the fractions of the shares on from configuration to
-configuration; what that leaves, and only that, is packed by the same pricing
+configuration. Where rounding up left fewer items of a length than a configuration
+names, the largest lengths that still fit take the place, of those that rounding
+down left over. What then remains, and only that, is packed by the same pricing
 with real lengths as weights, a configuration at a time with its largest
-multiplicity. The dual weights also give a lower bound on the number of
-containers, so the distance from the optimum is known.
+multiplicity. The average of the dual weights, raised until every length is in
+some full-priced configuration, gives a lower bound on the number of containers,
+so the distance from the optimum is known.
 
 The items are then numbered within their length, and intervals of these numbers
 are mapped to containers. The number within a length needs no group of a whole
@@ -33,6 +36,7 @@ from tallyweave.session import Scratch
 
 CAPACITY = 2048
 _SALT_ROWS = 200_000
+_WASTE = 1 / 128  # a rounded configuration may leave so much room, if it does not leave far more by itself
 _TOLERANCE = 0.05  # a configuration counts as best within this share of the best price
 
 
@@ -48,6 +52,8 @@ class Plan:
     containers: int
     bound: int
     by_shares: int = 0  # containers filled by the rounded shares; the others are full lengths and the remainder
+    full: int = 0
+    configurations: int = 0
 
 
 def _best_fill(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,18 +85,32 @@ def _read_back(last: np.ndarray, sizes: np.ndarray, have: np.ndarray, capacity:
     return {j: min(n, int(have[j])) for j, n in config.items() if have[j] > 0}
 
 
+def _fillers(room: int, sizes: np.ndarray, have: np.ndarray) -> dict[int, int]:
+    """The largest lengths that still fit a room, each as often as it does."""
+    more: dict[int, int] = {}
+    alive = np.flatnonzero(have)
+    while room > 0:
+        alive = alive[: int(np.searchsorted(sizes[alive], room, side="right"))]
+        if not alive.size:
+            break
+        j, alive = int(alive[-1]), alive[:-1]
+        more[j] = min(room // int(sizes[j]), int(have[j]))
+        room -= more[j] * int(sizes[j])
+    return more
+
+
+def _room(config: dict[int, int], sizes: np.ndarray, capacity: int) -> int:
+    return capacity - sum(int(sizes[j]) * n for j, n in config.items())
+
+
 def _top_up(config: dict[int, int], sizes: np.ndarray, have: np.ndarray, capacity: int) -> dict[int, int]:
     """Fill what room is left with the largest lengths that still fit."""
-    room = capacity - sum(int(sizes[j]) * n for j, n in config.items())
-    while True:
-        j = int(np.searchsorted(sizes, room, side="right")) - 1
-        while j >= 0 and have[j] <= config.get(j, 0):
-            j -= 1
-        if j < 0 or room <= 0:
-            return config
-        n = min(room // int(sizes[j]), int(have[j]) - config.get(j, 0))
+    left = have.copy()
+    for j, n in config.items():
+        left[j] -= n
+    for j, n in _fillers(_room(config, sizes, capacity), sizes, np.maximum(left, 0)).items():
         config[j] = config.get(j, 0) + n
-        room -= n * int(sizes[j])
+    return config
 
 
 def _prices(dense: np.ndarray) -> np.ndarray:
@@ -102,6 +122,34 @@ def _prices(dense: np.ndarray) -> np.ndarray:
     return best
 
 
+def _bound_of(weight: np.ndarray, sizes: np.ndarray, total: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """What the items weigh by the heaviest configuration, a lower bound on containers; and the table of prices."""
+    dense = np.full(capacity + 1, -np.inf)
+    dense[sizes] = weight
+    best = _prices(dense)
+    return float((weight * total).sum() / best[capacity]) if best[capacity] > 0 else 0.0, best
+
+
+def _raised_bound(weight: np.ndarray, sizes: np.ndarray, total: np.ndarray, capacity: int, steps: int = 25) -> float:
+    """The best bound while each length is raised by a part of what its best configuration lacks of the heaviest."""
+    part = 1.0 / min(3, max(1, capacity // int(sizes[0])))
+    most = 0.0
+    for _ in range(steps):
+        bound, best = _bound_of(weight, sizes, total, capacity)
+        most = max(most, bound)
+        weight = weight + part * (best[capacity] - (weight + best[capacity - sizes]))
+    return most
+
+
+def _plain_bound(sizes: np.ndarray, total: np.ndarray, capacity: int) -> float:
+    """By size, and by size rounded down to k parts of a container (a dual feasible function for every k)."""
+    bounds = [float((sizes * total).sum() / capacity)]
+    for k in range(1, 9):
+        x = (k + 1) * sizes
+        bounds.append(float((np.where(x % capacity == 0, sizes / capacity, (x // capacity) / k) * total).sum()))
+    return max(bounds)
+
+
 def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray, float]:
     """Shares of configurations, the covered part of each length, and a lower bound on containers.
 
@@ -115,7 +163,8 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int
     eta = np.log(len(sizes) + 1.0)
     covered = np.zeros(len(sizes))
     shares: dict[tuple[tuple[int, int], ...], float] = {}
-    bound, done = float((sizes * total).sum() / capacity), 0
+    bound, done = _plain_bound(sizes, total, capacity), 0
+    average = np.zeros(len(sizes))
     index = np.zeros(capacity + 1, np.int64)
     index[sizes] = np.arange(len(sizes))
     while covered.min(initial=1) < 1 and (rounds is None or done < rounds):
@@ -126,6 +175,7 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int
         best = _prices(dense)
         back = best[::-1].copy()
         bound = max(bound, float((weight * total).sum() / best[capacity]))
+        average += weight / best[capacity]
         least = (1 - _TOLERANCE) * best[capacity]
 
         def around(j: int, least: float) -> tuple[float, dict[int, int]]:
@@ -167,6 +217,8 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int
                 used = True
         if not used:  # what there is of the lengths does not make up the best price
             use(max((around(j, 0.0) for j in np.flatnonzero(covered < 1).tolist()), key=lambda x: x[0])[1])
+    if done:
+        bound = max(bound, _raised_bound(average, sizes, total, capacity))
     return shares, covered, bound
 
 
@@ -178,15 +230,27 @@ def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | No
         return plan, 0, 0
     shares, _, bound = fractional(sizes, counts, capacity, rounds)
     # rounding: neighbours have their largest lengths in common, so a fraction carried on is missed little
-    carried = 0.0
+    carried, rounded, planned = 0.0, [], np.zeros(len(sizes), np.int64)
     for key, share in sorted(shares.items(), reverse=True):
         carried += share
-        left = int(carried + 0.5)
-        carried -= left
-        while left > 0 and all(have[j] >= n for j, n in key):
-            # a share's configuration may lack a little of being full
-            config = _top_up(dict(key), sizes, have, capacity)
-            times = min([left, *(int(have[j]) // n for j, n in config.items())])
+        times = int(carried + 0.5)
+        carried -= times
+        if times > 0:
+            rounded.append((key, times))
+            for j, n in key:
+                planned[j] += n * times
+    spare = np.maximum(have - planned, 0)  # what no rounded configuration names
+    for key, left in rounded:
+        while left > 0:
+            config = {j: min(n, int(have[j])) for j, n in key if have[j] > 0}
+            lack = _room(config, sizes, capacity)
+            more = _fillers(lack, sizes, spare) if lack else {}
+            if not config or lack - sum(int(sizes[j]) * n for j, n in more.items()) > max(int(capacity * _WASTE), _room(dict(key), sizes, capacity)):
+                break  # too much of it is gone: the remainder takes what there is
+            times = min([left, *(int(have[j]) // n for j, n in config.items()), *(int(spare[j]) // n for j, n in more.items())])
+            for j, n in more.items():
+                spare[j] -= n * times
+                config[j] = config.get(j, 0) + n
             plan.append((config, times))
             left -= times
             for j, n in config.items():
@@ -221,13 +285,13 @@ def make_plan(histogram: dict[int, int], capacity: int, rounds: int | None = Non
             rows.append((int(sizes[j]), int(used[j]), at, n))
             used[j] += n * times
         at += times
-    full = histogram.get(capacity, 0)
+    full = histogram.get(capacity, 0)  # a piece of the whole capacity needs no plan
     if full:
         rows.append((capacity, 0, at, 1))
         at += full
     rows.sort()
     cols = [np.array(c, np.int64) for c in zip(*rows)] if rows else [np.empty(0, np.int64)] * 4
-    return Plan(*cols, containers=at, bound=bound + full, by_shares=by_shares)
+    return Plan(*cols, containers=at, bound=bound + full, by_shares=by_shares, full=full, configurations=len(configs))
 
 
 # --------------------------------------------------------------------------- items
@@ -240,19 +304,12 @@ def pieces_of(lengths: DataFrame, capacity: int, id_column: str = "doc_id", size
     )
 
 
-def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, tokenizer_dir: str = TOKENIZER_DIR, rounds: int | None = None) -> DataFrame:
-    """(<id>, piece_no, n_tokens, container): every text's pieces and their containers.
-
-    No container holds more than ``capacity`` tokens. A text is divided only if
-    it is longer than that. Null and empty texts have one piece of 0 tokens,
-    which takes no room and lies in container 0. Rows with equal ids are items
-    of their own, which may then have equal ids and pieces in the result; ties
-    in length are placed by id. Other columns are not read, and an empty table
-    gives no rows.
-    """
+def _planned(df: DataFrame, id_column: str, text_column: str, capacity: int, tokenizer_dir: str, rounds: int | None) -> tuple[DataFrame, Plan]:
+    """The packed pieces and the plan they follow."""
     spark = df.sparkSession
-    scratch = Scratch(spark)
-    items = scratch.keep(pieces_of(count_tokens(df, id_column, text_column, tokenizer_dir), capacity, id_column), "pieces")
+    with Scratch(spark) as scratch:
+        items = scratch.keep(pieces_of(count_tokens(df, id_column, text_column, tokenizer_dir), capacity, id_column), "pieces")
+        scratch.hold("pieces")
     histogram = {int(r[0]): int(r[1]) for r in items.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
     plan = make_plan(histogram, capacity, rounds)
 
@@ -280,19 +337,41 @@ def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ca
                 where = np.zeros(len(size), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(where)], [id_column, "piece_no", "n_tokens", "container"])
 
-    return numbered.select(id_column, "piece_no", "n_tokens", F.col("_rn").cast("long").alias("_rn")).mapInArrow(
+    packed = numbered.select(id_column, "piece_no", "n_tokens", F.col("_rn").cast("long").alias("_rn")).mapInArrow(
         assign, f"`{id_column}` {kind}, piece_no int, n_tokens long, container long"
     )
+    return packed, plan
+
 
+def pack(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, tokenizer_dir: str = TOKENIZER_DIR, rounds: int | None = None) -> DataFrame:
+    """(<id>, piece_no, n_tokens, container): every text's pieces and their containers.
 
-def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers, tokens, share of room used and the plain lower bound by total size."""
-    return packed.agg(
-        F.count_distinct("container").alias("containers"),
-        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
-    ).select(
+    No container holds more than ``capacity`` tokens. A text is divided only if
+    it is longer than that. Null and empty texts have one piece of 0 tokens,
+    which takes no room and lies in container 0. Rows with equal ids are items
+    of their own, which may then have equal ids and pieces in the result; ties
+    in length are placed by id. Other columns are not read, and an empty table
+    gives no rows.
+    """
+    return _planned(df, id_column, text_column, capacity, tokenizer_dir, rounds)[0]
+
+
+def report(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, tokenizer_dir: str = TOKENIZER_DIR, rounds: int | None = None) -> DataFrame:
+    """One row: how well the texts of ``pack`` fill their containers, and which step filled them.
+
+    containers, tokens, filled (share of the room used); least_containers by
+    plain size and lower_bound by the dual weights; of the containers,
+    by_program (rounded shares of the linear program), by_full (full pieces,
+    which need no plan) and by_remainder; n_configurations that the plan uses.
+    An empty table gives a row of zeros.
+    """
+    packed, plan = _planned(df, id_column, text_column, capacity, tokenizer_dir, rounds)
+    return packed.agg(F.count_distinct("container").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).select(
         "containers",
         "tokens",
         (F.col("tokens") / F.greatest(F.col("containers") * capacity, F.lit(1))).alias("filled"),
         F.ceil(F.col("tokens") / capacity).alias("least_containers"),
-    )
+        *[F.lit(int(v)).cast("long").alias(c) for c, v in (
+            ("lower_bound", plan.bound), ("by_program", plan.by_shares), ("by_full", plan.full), ("by_remainder", plan.containers - plan.by_shares - plan.full), ("n_configurations", plan.configurations),
+        )],
+    )

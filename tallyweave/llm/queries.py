@@ -64,7 +64,7 @@ def p9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill_report(packing.pack(table(spark, folder, "documents")))
+    return packing.report(table(spark, folder, "documents"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

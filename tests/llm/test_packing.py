@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,6 +46,30 @@ def test_hard_lengths():
     assert plan.containers == 450 and plan.bound >= 445
 
 
+@pytest.mark.parametrize("low, high, n", [(600, 1100, 9000), (690, 760, 5000), (100, 2047, 6000)])
+def test_the_program_places_nearly_all(low, high, n):
+    rng = np.random.default_rng(low)
+    items = Counter(rng.integers(low, high + 1, n).tolist())
+    plan = packing.make_plan(items, 2048)
+    check(items, plan, 2048)
+    assert plan.by_shares >= 0.95 * plan.containers
+    assert plan.containers <= 1.01 * plan.bound + plan.configurations and plan.containers <= 1.03 * plan.bound + 5
+    # without the program's rounds another plan comes out, which is hardly better where a length has few items, and worse where it has many
+    greedy = packing.make_plan(items, 2048, rounds=1)
+    assert greedy.by_shares < 0.5 * greedy.containers
+    assert [greedy.length.tolist(), greedy.start.tolist(), greedy.per.tolist()] != [plan.length.tolist(), plan.start.tolist(), plan.per.tolist()]
+    assert plan.containers <= 1.005 * greedy.containers + 2
+
+
+def test_report(spark):
+    df = spark.range(40).selectExpr("id as doc_id", "repeat('a ', cast(id % 5 as int) * 600 + 90) as text")
+    r = packing.report(df).first()
+    tokens = sum(i % 5 * 600 + 91 for i in range(40))
+    assert r.tokens == tokens and r.containers == r.by_program + r.by_full + r.by_remainder and r.least_containers <= r.lower_bound <= r.containers
+    assert r.filled == pytest.approx(tokens / 2048 / r.containers)
+    assert packing.report(df.limit(0)).first().containers == 0
+
+
 def test_pack_documents(spark):
     text = lambda n: "a " * n  # noqa: E731  (n words and the last blank: n + 1 tokens)
     rows = [(1, None, "x"), (2, "", "x"), (3, text(5000), "x"), (4, text(2047), "x"), (5, text(30), "x"), (5, text(30), "x"), (6, "a", "x")]
