@@ -3,12 +3,16 @@
 Two records are similar if all their scaled features differ by at most ``eps``.
 Features are quantised to cells. A record lies in every cell that its interval
 of width ``eps`` around each value touches, so two similar records always share
-a cell. Cells are counted; a crowded cell is cut again by a finer grid, so no
-task gets more than a bounded cell. In a cell, records are split at gaps of more
-than ``eps`` in any feature, and what remains is compared in blocks; a cell
-gives links of a spanning star per local component, never all pairs. Minimum
-labels are propagated over the links to convergence. Exact copies are one point
-with a weight.
+a cell. Cells are counted. The first grid takes the few features that spread
+most, so a record is in 2 ** _GRID_FEATURES cells at worst. A crowded cell is cut
+into slabs along the feature that spreads most within it, at its own quantiles,
+and again as long as it is crowded and some feature spreads over several ``eps``;
+a slab is at least four ``eps`` wide, so a cut puts a record into two slabs at
+most. In a cell, records are split at gaps of more than ``eps`` in any feature,
+and what remains is searched breadth first, every record found leaving the search:
+the denser a cell, the fewer comparisons each record takes. A cell gives links
+of a spanning star per local component, never all pairs. Minimum labels are
+propagated over the links to convergence. Exact copies are one point with a weight.
 
 Mutual similarity of a whole component needs no pairs either: it holds just if
 no feature's range in the component exceeds ``eps``.
@@ -21,6 +25,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave.session import Scratch
@@ -28,7 +33,10 @@ from tallyweave.session import Scratch
 N_FEATURES = 19
 EPS = 0.05
 _CELL_ROWS = 20_000
-_WIDTHS = (1.0, 0.5, 0.25, 0.125)
+_WIDTH = 1.0
+_GRID_FEATURES = 8
+_SLAB = 4  # least width of a slab, in eps
+_MAX_CUTS = 40  # of one cell, one after the other
 _BUCKET_ROWS = 50_000
 
 
@@ -42,10 +50,10 @@ def scaled(x: Column) -> Column:
     return F.transform(x, one)
 
 
-def _cells(y: Column, width: float, eps: float, n: int) -> Column:
-    """Hashes of all cells of a row: in each feature the one or two that the interval touches."""
-    keys = F.array(F.lit(int(width * 1000)).cast("long"))
-    for d in range(n):
+def _cells(y: Column, features: list[int], width: float, eps: float) -> Column:
+    """Hashes of all cells of a row: in each of some features the one or two that the interval touches."""
+    keys = F.array(F.lit(0).cast("long"))
+    for d in features:
         v = y[d]
         # zero lies in the middle of a cell, since it is the most frequent value
         low, high = (F.floor((v + s * eps / 2 * (1 + 1e-9)) / width + 0.5).cast("long") for s in (-1, 1))
@@ -58,14 +66,55 @@ def _extend(choices: Column) -> Callable[[Column], Column]:
 
 
 # --------------------------------------------------------------------------- inside a cell
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def _reached(y: np.ndarray, eps: float) -> list[np.ndarray]:
+    """Connected components of rows, by breadth-first search in the order of the first column.
 
+    Each row looks through the unreached rows within ``eps`` in the first column
+    only, and what it finds is looked through no more. Unreached rows are held
+    column by column and closed up when a tenth of them is gone.
+    """
+    order = np.argsort(y[:, 0], kind="stable")
+    z = y[order]
+    n, head = len(z), min(4, z.shape[1])
+    reach = eps * (1 + 1e-12)
+    free = np.ones(n, bool)
+    alive, columns, open_, gone = np.arange(n), [np.ascontiguousarray(z[:, d]) for d in range(head)], np.ones(n, bool), 0
+    out = []
+    for start in range(n):
+        if not free[start]:
+            continue
+        free[start] = False
+        found, todo = [start], [start]
+        while todo:
+            p = todo.pop()
+            a, b = np.searchsorted(columns[0], (z[p, 0] - reach, z[p, 0] + reach))
+            near = open_[a:b].copy()
+            for d in range(head):
+                near &= np.abs(columns[d][a:b] - z[p, d]) <= eps
+            at = a + np.flatnonzero(near)
+            rows = alive[at]
+            fresh = free[rows]
+            at, rows = at[fresh], rows[fresh]
+            for d in range(head, z.shape[1]):
+                if not rows.size:
+                    break
+                ok = np.abs(z[rows, d] - z[p, d]) <= eps
+                at, rows = at[ok], rows[ok]
+            if rows.size:
+                free[rows] = open_[at] = False
+                found += rows.tolist()
+                todo += rows.tolist()
+                gone += rows.size
+                if 10 * gone > alive.size:
+                    keep = free[alive]
+                    alive, columns, gone = alive[keep], [c[keep] for c in columns], 0
+                    open_ = np.ones(alive.size, bool)
+        if len(found) > 1:
+            out.append(order[found])
+    return out
 
-def local_components(y: np.ndarray, eps: float, block: int = 1024) -> list[np.ndarray]:
+
+def local_components(y: np.ndarray, eps: float) -> list[np.ndarray]:
     """Row numbers of the connected components with at least two rows."""
     out: list[np.ndarray] = []
     todo = [np.arange(len(y))]
@@ -78,63 +127,74 @@ def local_components(y: np.ndarray, eps: float, block: int = 1024) -> list[np.nd
         if (span <= eps).all():
             out.append(rows)
             continue
-        for d in np.argsort(-span):
-            if span[d] <= eps:
-                d = -1
-                break
+        wide = np.argsort(-span)
+        for d in wide[span[wide] > eps]:
             order = np.argsort(part[:, d], kind="stable")
             gaps = np.flatnonzero(np.diff(part[order, d]) > eps) + 1
             if gaps.size:
                 todo += [rows[s] for s in np.split(order, gaps)]
                 break
         else:
-            d = -1
-        if d >= 0:
-            continue
-        parent = np.arange(len(rows))
-        wide = np.argsort(-span)
-        for a in range(0, len(rows), block):
-            for b in range(a, len(rows), block):
-                near = np.abs(part[a : a + block, None, wide[0]] - part[None, b : b + block, wide[0]]) <= eps
-                i, j = np.nonzero(near)
-                keep = (i + a) < (j + b)
-                i, j = i[keep] + a, j[keep] + b
-                for k in wide[1:]:
-                    ok = np.abs(part[i, k] - part[j, k]) <= eps
-                    i, j = i[ok], j[ok]
-                for p, q in zip(i.tolist(), j.tolist()):
-                    rp, rq = _find(parent, p), _find(parent, q)
-                    if rp != rq:
-                        parent[max(rp, rq)] = min(rp, rq)
-        root = np.array([_find(parent, i) for i in range(len(rows))])
-        order = np.argsort(root, kind="stable")
-        for s in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-            if len(s) > 1:
-                out.append(rows[s])
+            out += [rows[c] for c in _reached(part[:, wide], eps)]
+    return out
+
+
+# --------------------------------------------------------------------------- cells of a bounded size
+def _slabs(placed: DataFrame, crowded: DataFrame, eps: float, n: int) -> DataFrame:
+    """(cell, d, cuts): where each crowded cell is cut along the feature that spreads most in it; cells without such a feature are left out.
+
+    Quantiles come from mergeable sketches, so no cell is gathered. Cuts are
+    ``_SLAB`` eps apart and from the ends of the feature's range.
+    """
+    steps = [k / 16 for k in range(1, 16)]
+    own = placed.join(crowded.select("cell"), "cell", "left_semi")
+    stats = own.groupBy("cell").agg(*[F.struct(F.min(F.col("y")[d]).alias("a"), F.max(F.col("y")[d]).alias("z"), F.percentile_approx(F.col("y")[d], steps, 500).alias("q")).alias(f"f{d}") for d in range(n)])
+
+    def choice(d: int) -> Column:
+        f = F.col(f"f{d}")
+        far = F.lit(_SLAB * eps)
+        kept = F.aggregate(
+            f["q"], F.array().cast("array<double>"),
+            lambda acc, v: F.when((v - F.coalesce(F.try_element_at(acc, F.lit(-1)), f["a"]) >= far) & (f["z"] - v >= far), F.array_append(acc, v)).otherwise(acc),
+        )
+        return F.struct(F.size(kept).alias("n_cuts"), (f["z"] - f["a"]).alias("span"), F.lit(d).alias("d"), kept.alias("cuts"))
+
+    best = F.array_max(F.array(*[choice(d) for d in range(n)]))
+    return stats.select("cell", best.alias("b")).where("b.n_cuts > 0").select("cell", "b.d", "b.cuts")
+
+
+def _bounded_cells(points: DataFrame, eps: float, n: int, scratch: Scratch) -> DataFrame:
+    """(cell, id, y): every two similar points share a cell; cells with one point are left out.
+
+    No cell has more than ``_CELL_ROWS`` points unless all its features spread
+    over less than ``2 * _SLAB`` eps.
+    """
+    spread = points.agg(*[F.coalesce(F.stddev_pop(F.col("y")[d]), F.lit(0.0)) for d in range(n)]).first()
+    features = sorted(range(n), key=lambda d: (-spread[d], d))[:_GRID_FEATURES]
+    placed = scratch.keep(points.select("id", "y", F.explode(_cells(F.col("y"), features, _WIDTH, eps)).alias("cell")), "cells0")
+    done = []
+    for k in range(1, _MAX_CUTS + 1):
+        counts = scratch.keep(placed.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), f"counts{k}")
+        crowded = counts.where(F.col("c") > _CELL_ROWS)
+        if k == _MAX_CUTS or crowded.isEmpty():
+            done.append(placed.join(counts.select("cell"), "cell", "left_semi"))
+            break
+        slabs = scratch.keep(_slabs(placed, crowded, eps, n), f"slabs{k}")
+        done.append(placed.join(counts.select("cell"), "cell", "left_semi").join(slabs.select("cell"), "cell", "left_anti"))
+        v = F.element_at("y", F.col("d") + 1)
+        below = lambda s: F.size(F.filter("cuts", lambda c: c < v + s * eps / 2 * (1 + 1e-9)))
+        cut = placed.join(slabs, "cell").select("id", "y", "cell", "d", F.explode(F.sequence(below(-1), below(1))).alias("slab"))
+        placed = scratch.keep(cut.select("id", "y", F.xxhash64("cell", "d", "slab").alias("cell")), f"cells{k}")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part.select(out.columns))
     return out
 
 
 def _links(points: DataFrame, eps: float, n: int, scratch: Scratch) -> DataFrame:
     """(u, v): links of each cell's local components."""
-    spark = points.sparkSession
-    left, parts = points, []
-    for k, width in enumerate(_WIDTHS):
-        placed = scratch.keep(left.select("id", "y", F.explode(_cells(F.col("y"), width, eps, n)).alias("cell")), f"cells{k}")
-        counts = placed.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1")
-        last = k == len(_WIDTHS) - 1
-        fine = counts if last else counts.where(F.col("c") <= _CELL_ROWS)
-        parts.append(placed.join(fine.select("cell"), "cell", "left_semi"))
-        if last:
-            break
-        hot = counts.where(F.col("c") > _CELL_ROWS).select("cell")
-        if hot.isEmpty():
-            break
-        # at most rows / _CELL_ROWS cells are crowded
-        left = placed.join(hot, "cell", "left_semi").select("id", "y").dropDuplicates(["id"])
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * points.count() // _BUCKET_ROWS + 1)
+    cells = _bounded_cells(points, eps, n, scratch)
+    buckets = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * points.count() // _BUCKET_ROWS + 1)
 
     def run(table: pa.Table) -> pa.Table:
         cell, ids = table["cell"].to_numpy(), table["id"].to_numpy()
@@ -149,12 +209,7 @@ def _links(points: DataFrame, eps: float, n: int, scratch: Scratch) -> DataFrame
         cat = lambda a: np.concatenate(a) if a else np.empty(0, np.int64)
         return pa.table({"u": pa.array(cat(us)), "v": pa.array(cat(vs))})
 
-    return (
-        both.withColumn("bucket", F.pmod("cell", F.lit(buckets)).cast("int"))
-        .groupBy("bucket")
-        .applyInArrow(run, "u long, v long")
-        .distinct()
-    )
+    return cells.withColumn("bucket", F.pmod("cell", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
 
 
 def _propagate(links: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
@@ -185,6 +240,7 @@ def _assigned(df: DataFrame, id_column: str, x_column: str, eps: float, n: int,
     points = scratch.keep(rows.groupBy("point").agg(F.min("row_id").alias("id"), F.count("*").alias("w"), F.first("y").alias("y")), "points")
     links = scratch.keep(_links(points.select("id", "y"), eps, n, scratch), "links")
     labels = _propagate(links, scratch)
+    scratch.hold("rows", "points", "labels")
     return points.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), rows
 
 
@@ -196,8 +252,8 @@ def mutual_clusters(
     Rows without identifier, or whose vector is null or has another length, take no part. Repeated
     vectors count with all their rows. An empty table gives no rows.
     """
-    scratch = Scratch(df.sparkSession)
-    points, rows = _assigned(df, id_column, x_column, eps, n_features, scratch)
+    with Scratch(df.sparkSession) as scratch:
+        points, rows = _assigned(df, id_column, x_column, eps, n_features, scratch)
     ranges = [(F.max(F.col("y")[d]) - F.min(F.col("y")[d])) <= eps for d in range(n_features)]
     whole = ranges[0]
     for r in ranges[1:]:
@@ -216,8 +272,8 @@ def described_clusters(
     the cluster in a grid of width ``eps`` (of equally dense ones the first).
     Rows similar to no other row are clusters of their own and not listed.
     """
-    scratch = Scratch(df.sparkSession)
-    points, rows = _assigned(df, id_column, x_column, eps, n_features, scratch)
+    with Scratch(df.sparkSession) as scratch:
+        points, rows = _assigned(df, id_column, x_column, eps, n_features, scratch)
     cell = F.xxhash64(F.transform("y", lambda v: F.floor(v / eps + 0.5)))
     placed = points.select("point", "label", "w", cell.alias("cell"))
     cells = placed.groupBy("label", "cell").agg(F.sum("w").alias("n"))
@@ -228,8 +284,8 @@ def described_clusters(
     )
     dense = placed.join(best.select("label", "cell"), ["label", "cell"], "left_semi").select("point", "label")
     named = df.select(F.col(id_column).alias("row_id"), F.col(name_column).alias("name"))
-    names = (
-        rows.select("row_id", "point").join(dense, "point").join(named, "row_id").where("name is not null").select("label", "name").distinct()
-        .groupBy("label").agg(F.slice(F.sort_array(F.collect_set("name")), 1, typical).alias("typical"))
-    )
+    own = rows.select("row_id", "point").join(dense, "point").join(named, "row_id").where("name is not null").select("label", "name").distinct()
+    # the rank limit is applied in each task before the shuffle
+    first = own.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("name"))).where(F.col("r") <= typical)
+    names = first.groupBy("label").agg(F.sort_array(F.collect_list("name")).alias("typical"))
     return best.join(names, "label", "left").select(F.col("label").alias("cluster_row_id"), "n_rows", "n_cells", "densest_rows", "typical")

@@ -1,6 +1,7 @@
 """Frequent items, distinct runs, components and clusters against brute force."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyweave.llm import components, distinct_runs, grid_clusters, heavy_hitters
+from tallyweave.session import Scratch
 
 
 # --------------------------------------------------------------------------- frequent items
@@ -169,9 +171,51 @@ def test_described_clusters(spark):
     assert grid_clusters.described_clusters(empty).count() == 0 and grid_clusters.mutual_clusters(empty).count() == 0
 
 
-def test_local_components_in_blocks():
+def cells_of(spark, y, eps=0.05):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "id long, y array<double>")
+    with Scratch(spark) as scratch:
+        return grid_clusters._bounded_cells(df, eps, y.shape[1], scratch).select("cell", "id").toPandas()
+
+
+def test_cells_are_bounded_and_share_neighbours(spark, monkeypatch):
+    """Cut cells hold at most so many points, a point is in few cells, and every two similar points share one."""
+    monkeypatch.setattr(grid_clusters, "_CELL_ROWS", 200)
+    rng = np.random.default_rng(3)
+    y = rng.uniform(0, 0.9, (3000, 4))
+    y[:, 3] = 0.4
+    got = cells_of(spark, y)
+    assert got.groupby("cell").size().max() <= 200
+    assert len(got) <= 6 * len(y) and got.groupby("id").size().max() <= 64
+    near = np.argwhere(np.triu((np.abs(y[:, None] - y[None]) <= 0.05).all(2), 1))
+    cells = got.groupby("id")["cell"].agg(set)
+    assert len(near) > 500 and all(cells[i] & cells[j] for i, j in near)
+
+
+def test_duplicates_are_bounded_at_the_borders(spark):
+    """Values on the border of a cell in every feature: 2 ** 8 cells at worst."""
+    got = cells_of(spark, np.full((3, 19), 0.5) + np.arange(3)[:, None] * 0.001)
+    assert got.groupby("id").size().max() <= 2**grid_clusters._GRID_FEATURES
+
+
+def test_a_hundred_thousand_points_in_one_cell():
+    """No cut helps where all features spread over little: the search takes them in seconds."""
+    rng = np.random.default_rng(5)
+    y = rng.uniform(0, 0.125, (100_000, 19))
+    began = time.time()
+    parts = grid_clusters.local_components(y, 0.05)
+    assert time.time() - began < 120
+    parts.sort(key=len, reverse=True)
+    assert len(parts[0]) > 95_000
+    sample = rng.choice(parts[0], 300)
+    inside = np.zeros(len(y), bool)
+    inside[parts[0]] = True
+    for p in sample:
+        assert inside[(np.abs(y - y[p]) <= 0.05).all(1)].all()
+
+
+def test_local_components():
     rng = np.random.default_rng(0)
     y = np.cumsum(rng.uniform(0, 0.06, (300, 1)), axis=0).repeat(3, axis=1)
-    got = sorted(sorted(c.tolist()) for c in grid_clusters.local_components(y, 0.05, block=32))
+    got = sorted(sorted(c.tolist()) for c in grid_clusters.local_components(y, 0.05))
     cuts = np.flatnonzero(np.diff(y[:, 0]) > 0.05) + 1
     assert got == sorted(s.tolist() for s in np.split(np.arange(300), cuts) if len(s) > 1)
