@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.money import SATS, round_half_up
 from tallyweave.operators.ledger import Ledger
+from tallyweave.operators.ranks import ranged
 from tallyweave.session import Scratch
 
 FAST_SPLIT_SECONDS = 600
@@ -61,29 +62,31 @@ def degrees(pairs: DataFrame) -> DataFrame:
     return both.groupBy("address").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def turnaround(led: Ledger, ext: DataFrame, slot_seconds: int = 86400) -> DataFrame:
+def turnaround(led: Ledger, ext: DataFrame) -> DataFrame:
     """(address, fastest_turnaround): the smallest gap between a spend and the last receipt before it.
 
-    The as-of step runs within (address, time slot), and what a slot leaves is
-    carried to later ones over one row per slot, so an address with a third of
-    all rows is spread over its slots.
+    The as-of step runs within ranges of (address, order), so an address with a
+    third of all rows is spread over a third of the ranges, however its rows lie
+    in time; what a range leaves to later ones of its address is one row.
     """
-    slot = F.floor(F.col("ts") / slot_seconds)
-    got = ext.select("address", slot.alias("slot"), "ord", "ts", F.col("ts").alias("got"))
-    gave = led.inp.select("address", slot.alias("slot"), "ord", "ts", F.lit(None).cast("long").alias("got"))
-    before = W.partitionBy("address", "slot").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    rows = got.unionByName(gave).withColumn("near", F.last("got", ignorenulls=True).over(before))
-    ends = got.unionByName(gave).groupBy("address", "slot").agg(F.max("got").alias("end"))
-    earlier = W.partitionBy("address").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select("address", "slot", F.last("end", ignorenulls=True).over(earlier).alias("far")).where("far is not null")
-    local = rows.where("got is null")
-    gaps = local.join(carried, ["address", "slot"], "left").select("address", (F.col("ts") - F.coalesce("near", "far")).alias("gap"))
-    return gaps.where("gap >= 0").groupBy("address").agg(F.min("gap").alias("fastest_turnaround"))
+    got = ext.select("address", "ord", "ts", F.col("ts").alias("got"))
+    gave = led.inp.select("address", "ord", "ts", F.lit(None).cast("long").alias("got"))
+    with Scratch(led.spark()) as scratch:
+        rows = ranged(got.unionByName(gave), [F.col("address"), F.col("ord")], scratch, "turns")
+        before = W.partitionBy("part", "address").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+        near = rows.withColumn("near", F.last("got", ignorenulls=True).over(before)).where("got is null")
+        ends = rows.groupBy("address", "part").agg(F.max("got").alias("end"))
+        earlier = W.partitionBy("address").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select("address", "part", F.last("end", ignorenulls=True).over(earlier).alias("far")).where("far is not null")
+        gaps = near.join(carried, ["address", "part"], "left").select("address", (F.col("ts") - F.coalesce("near", "far")).alias("gap"))
+        return gaps.where("gap >= 0").groupBy("address").agg(F.min("gap").alias("fastest_turnaround"))
 
 
 def accumulators(led: Ledger) -> DataFrame:
     """One row per address with all counters. The change-free outputs, which four of them read, are joined and written once."""
-    ext, first = Scratch(led.spark()).keep(ext_out(led), "ext"), first_seen(led)
+    with Scratch(led.spark()) as scratch:
+        scratch.hold("ext")
+        ext, first = scratch.keep(ext_out(led), "ext"), first_seen(led)
     all_ = receipts(ext).join(spends(led), "address", "full").join(first, "address", "left").join(payments(led, ext, first), "address", "left")
     all_ = all_.join(degrees(counterparties(led, ext)), "address", "left").join(turnaround(led, ext), "address", "left")
     counts = ("n_tx_in", "n_tx_out", "received_sats", "sent_sats", "largest_received_sats", "max_split_width", "paid_to_total", "paid_to_new", "in_degree", "out_degree")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.money import finite
 from tallyweave.operators.behavior import CLUSTER_FEATURES, FEATURES
+from tallyweave.operators.ranks import percentiles
+from tallyweave.session import Scratch
 
 _BLOCK_CELLS = 2_000_000  # distances held at once
 
@@ -187,25 +189,39 @@ def centroids(points: DataFrame, dims: list[str], label: str = "label") -> DataF
     """(label, mean of each dimension, radius): radius is the 90th percentile of member distances, 1e-6 at least."""
     means = points.groupBy(label).agg(*[F.avg(d).alias(f"{d}_c") for d in dims])
     dist = points.join(means, label).select(label, F.sqrt(sum((F.col(d) - F.col(f"{d}_c")) ** 2 for d in dims)).alias("dist"))
-    radius = dist.groupBy(label).agg(F.greatest(F.percentile("dist", F.lit(0.9)), F.lit(1e-6)).alias("radius"))
-    return means.join(radius, label)
+    with Scratch(points.sparkSession) as scratch:
+        radius = percentiles(dist, [label], ["dist"], 0.9, scratch)
+    return means.join(radius.select(label, F.greatest("dist", F.lit(1e-6)).alias("radius")), label)
 
 
 # --------------------------------------------------------------------------- risk, labels, scores
+# Weights of the medians in a cluster's risk, and what a short holding time adds. Fixed values.
+RISK_WEIGHTS = {"layering_score": 0.30, "collector_score": 0.30, "peel_score": 0.20, "forward_ratio": 0.15}
+SHORT_HOLDING_SECONDS, SHORT_HOLDING_RISK = 600, 0.05
+
+
 def cluster_medians(features: DataFrame, clusters: DataFrame, columns: tuple[str, ...] = CLUSTER_FEATURES) -> DataFrame:
-    return features.join(clusters, "address").groupBy("cluster").agg(F.count("*").alias("size"), (F.col("cluster") == -1).alias("is_noise"), *[F.median(c).alias(c) for c in columns])
+    """(cluster, size, is_noise, exact median of each column); a cluster with most rows is ordered in ranges, not in one task."""
+    with Scratch(features.sparkSession) as scratch:
+        scratch.hold("joined")
+        joined = scratch.keep(features.select("address", *columns).join(clusters.select("address", "cluster"), "address"), "joined")
+        m = percentiles(joined, ["cluster"], list(columns), 0.5, scratch)
+    return m.select("cluster", "size", (F.col("cluster") == -1).alias("is_noise"), *columns)
+
+
+def cluster_counts(clusters: DataFrame) -> DataFrame:
+    """One row: the number of clusters without noise, and of addresses in noise."""
+    return clusters.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"), F.count_if(F.col("cluster") == -1).alias("n_noise"))
 
 
 def cluster_risk(features: DataFrame, clusters: DataFrame) -> DataFrame:
     """Size, medians and risk of each cluster; noise (-1) is scored too."""
-    m = features.join(clusters, "address").groupBy("cluster").agg(
-        F.count("*").alias("size"),
-        *[F.median(c).alias(n) for c, n in (("layering_score", "l"), ("collector_score", "c"), ("peel_score", "p"), ("forward_ratio", "f"), ("avg_holding_time", "h"))],
-    )
-    risk = F.lit(0.30) * F.col("l") + F.lit(0.30) * F.col("c") + F.lit(0.20) * F.col("p") + F.lit(0.15) * F.col("f") + F.when(F.col("h") < 600, 0.05).otherwise(0.0)
+    names = {"layering_score": "median_layering", "collector_score": "median_collector", "peel_score": "median_peel", "forward_ratio": "median_forward_ratio", "avg_holding_time": "median_holding_seconds"}
+    m = cluster_medians(features, clusters, tuple(names))
+    risk = sum((F.lit(w) * F.col(c) for c, w in RISK_WEIGHTS.items()), start=F.lit(0.0)) + F.when(F.col("avg_holding_time") < SHORT_HOLDING_SECONDS, SHORT_HOLDING_RISK).otherwise(0.0)
     return m.select(
-        "cluster", "size", (F.col("cluster") == -1).alias("is_noise"), F.round(F.least(F.lit(1.0), risk), 4).alias("risk"), F.round("l", 4).alias("median_layering"),
-        F.round("c", 4).alias("median_collector"), F.round("p", 4).alias("median_peel"), F.round("f", 4).alias("median_forward_ratio"), F.round("h", 1).alias("median_holding_seconds"),
+        "cluster", "size", "is_noise", F.round(F.least(F.lit(1.0), risk), 4).alias("risk"),
+        *[F.round(c, 1 if c == "avg_holding_time" else 4).alias(n) for c, n in names.items()],
     )
 
 
@@ -252,9 +268,8 @@ def graph_scores(features: DataFrame, edges: DataFrame, labels: DataFrame, hops:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from tallyweave.session import Scratch
-
     scratch = Scratch(features.sparkSession)
+    scratch.hold("wide")
     bucket = F.pmod(F.xxhash64(F.lit(seed), "address"), F.lit(10))
     split = F.when(bucket < 6, "train").when(bucket < 8, "validation").otherwise("test")
     logs = features.join(labels.select("address", "y"), "address").select(
@@ -282,4 +297,5 @@ def graph_scores(features: DataFrame, edges: DataFrame, labels: DataFrame, hops:
     vec = VectorAssembler(inputCols=names, outputCol="v").transform(rows).withColumn("w", weight)
     model = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", regParam=5e-4, maxIter=50).fit(vec.where("split = 'train'"))
     out = model.transform(vec)
+    scratch.close()
     return out.select("address", "y", vector_to_array("probability")[1].alias("score"), "split")

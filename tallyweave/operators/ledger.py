@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.session import Scratch
 from tallyweave.sources.tables import table
 
 
@@ -29,6 +30,12 @@ class Ledger:
     def spark(self) -> SparkSession:
         return self.txs.sparkSession
 
+    def stored(self) -> Ledger:
+        """The same ledger, flattened and written once, for operators that read it many times."""
+        with Scratch(self.spark()) as scratch:
+            scratch.hold("txs", "inp", "out")
+            return Ledger(scratch.keep(self.txs, "txs"), scratch.keep(self.inp, "inp"), scratch.keep(self.out, "out"))
+
 
 def from_blocks(blocks: DataFrame) -> Ledger:
     """From reduced blocks (height, time, txs[txid, time, inputs, outputs]).

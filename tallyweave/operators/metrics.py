@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyweave.operators.ranks import ranged
+from tallyweave.session import Scratch
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, or 0 where b is 0."""
@@ -30,20 +33,21 @@ def youden_j(conf: DataFrame) -> DataFrame:
     return conf.select(F.bround(ratio(c("tp"), c("tp") + c("fn")) - ratio(c("fp"), c("fp") + c("tn")), 4).alias("youden_j"))
 
 
-def ranked(rows: DataFrame, buckets: int = 64) -> DataFrame:
+def ranked(rows: DataFrame) -> DataFrame:
     """y, rank and running positives, by score downwards and ``pos``, without sorting all rows in one task.
 
-    Rows are range-partitioned by score; rank and running sum are local ones
-    plus the totals of the partitions before, one row per partition.
+    Rows are range-partitioned by score, once and for all; rank and running sum
+    are local ones plus the totals of the partitions before, one row per partition.
     """
-    part = rows.repartitionByRange(buckets, F.col("score").desc(), F.col("pos")).withColumn("part", F.spark_partition_id())
-    local = W.partitionBy("part").orderBy(F.col("score").desc(), F.col("pos"))
-    own = part.withColumn("r", F.row_number().over(local)).withColumn("t", F.sum("y").over(local.rowsBetween(W.unboundedPreceding, 0)))
-    sizes = own.groupBy("part").agg(F.max("r").alias("n"), F.max("t").alias("p"))
-    # at most ``buckets`` rows: their order fits one task
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("dn"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("dp"))
-    return own.join(offsets, "part").select("pos", "y", "score", (F.col("r") + F.col("dn")).alias("rank"), (F.col("t") + F.col("dp")).alias("tp"))
+    with Scratch(rows.sparkSession) as scratch:
+        part = ranged(rows.select("pos", "y", "score"), [F.col("score").desc(), F.col("pos")], scratch, "by_score")
+        local = W.partitionBy("part").orderBy(F.col("score").desc(), F.col("pos"))
+        own = part.withColumn("r", F.row_number().over(local)).withColumn("t", F.sum("y").over(local.rowsBetween(W.unboundedPreceding, 0)))
+        sizes = part.groupBy("part").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+        # one row per partition: their order fits one task
+        before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("dn"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("dp"))
+        return own.join(offsets, "part").select("pos", "y", "score", (F.col("r") + F.col("dn")).alias("rank"), (F.col("t") + F.col("dp")).alias("tp"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
@@ -70,20 +74,23 @@ def evaluate(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return one.withColumn("base_rate", F.bround(ratio(F.col("n_positive"), F.col("n")), 4)).withColumn("labelled_accuracy", F.bround(ratio(F.col("tp") + F.col("tn"), F.col("n")), 4))
 
 
-def best_threshold(rows: DataFrame) -> DataFrame:
-    """(threshold, score): the first of 0.05, 0.06 .. 0.95 with the largest f1.
+def best_threshold(rows: DataFrame, metric: str = "f1") -> DataFrame:
+    """(threshold, score): the first of 0.05, 0.06 .. 0.95 with the largest f1 or, as ``metric`` says, the largest 'youden' index.
 
     Rows are counted by the number of thresholds they reach, so one pass and 92
-    groups serve all candidates.
+    groups serve all candidates. Without positives it is 0.5 with score 0.
     """
+    if metric not in ("f1", "youden"):
+        raise ValueError(f"unknown metric: {metric}")
     steps = F.array(*[F.lit(round(0.05 + i / 100, 3)) for i in range(91)])
     reach = rows.select("y", F.size(F.filter(steps, lambda t: t <= F.col("score"))).alias("reach")).groupBy("reach").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     t = rows.sparkSession.range(91).select(F.col("id").cast("int").alias("i"), F.expr("round(0.05D + id / 100D, 3)").alias("threshold"))
-    total = reach.agg(F.sum("p").alias("positives"))
+    total = reach.agg(F.sum("p").alias("positives"), F.sum("n").alias("all"))
     # 91 candidates by at most 92 groups
     c = t.join(F.broadcast(reach), F.col("reach") > F.col("i"), "left").groupBy("threshold").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("hit"))
     c = c.crossJoin(F.broadcast(total))
     precision, recall = ratio(F.col("tp"), F.col("hit")), ratio(F.col("tp"), F.col("positives"))
-    scored = c.select("threshold", F.bround(ratio(2 * precision * recall, precision + recall), 4).alias("score"), "positives")
+    value = ratio(2 * precision * recall, precision + recall) if metric == "f1" else recall - ratio(F.col("hit") - F.col("tp"), F.col("all") - F.col("positives"))
+    scored = c.select("threshold", F.bround(value, 4).alias("score"), "positives")
     best = scored.agg(F.max_by("threshold", F.struct("score", -F.col("threshold"))).alias("t"), F.max("score").alias("s"), F.max("positives").alias("p"))
     return best.select(F.when(F.col("p") > 0, F.col("t")).otherwise(0.5).alias("threshold"), F.when(F.col("p") > 0, F.col("s")).otherwise(0.0).alias("score"))

@@ -453,7 +453,7 @@ def nearest_assignment(spark: SparkSession, folder: str) -> DataFrame:
 # --------------------------------------------------------------------------- tracing
 @_query
 def classify_address(spark: SparkSession, folder: str) -> DataFrame:
-    return trace.classify(trace.totals(_ledger(spark, folder)), opt=trace.TraceOptions(service_min_txs=60))
+    return trace.classify(trace.totals(_ledger(spark, folder)), opt=trace.TraceOptions(service_min_txs=60)).select("address", "kind", "confidence", "basis")
 
 
 @_query

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import money
-from tallyweave.operators import behavior, cohort, labels, ledger, metrics, peel, trace
+from tallyweave.operators import behavior, cohort, labels, ledger, metrics, peel, ranks, trace
+from tallyweave.session import Scratch
 
 BLOCKS = "height long, time long, txs array<struct<txid: string, time: long, inputs: array<struct<address: string, value_sats: long>>, outputs: array<struct<n: int, address: string, value_sats: long>>>>"
 
@@ -67,7 +68,7 @@ def test_peel_edges(spark):
     assert [(r.txid, r.carrier) for r in peel.peel_shaped(led).collect()] == [("d", "P")]
 
 
-def sequential_chains(txs):
+def sequential_chains(txs, cap=500):
     spent, shape = {}, {}
     order = sorted(range(len(txs)), key=lambda i: (txs[i][1], i))
     for i in order:
@@ -84,7 +85,7 @@ def sequential_chains(txs):
         if s in used or s not in shape:
             continue
         path, at = [], s
-        while at in shape and at not in path and len(path) < 500:
+        while at in shape and at not in path and len(path) < cap:
             path.append(at)
             nxt = spent.get(shape[at])
             if nxt is None or nxt == at:
@@ -96,7 +97,7 @@ def sequential_chains(txs):
     lengths = {}
     for s in shape:
         path, at = [], s
-        while at in shape and at not in path:
+        while at in shape and at not in path and len(path) < cap:
             path.append(at)
             nxt = spent.get(shape[at])
             if nxt is None or nxt == at:
@@ -106,13 +107,18 @@ def sequential_chains(txs):
     return out, lengths
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_peel_against_sequential_checker(spark, seed):
+@pytest.mark.parametrize("seed, cap, forward", [(1, 500, False), (2, 500, False), (3, 4, False), (4, 5, True), (5, 7, True)])
+def test_peel_against_sequential_checker(spark, monkeypatch, seed, cap, forward):
+    """Random graphs with rings and shared carriers, one of them a single large component; with a small cap walks are cut off."""
+    monkeypatch.setattr(peel, "MAX_WALK", cap)
     rnd = random.Random(seed)
     name = lambda: f"a{rnd.randrange(40)}"
     txs = [(f"t{i:03}", rnd.randrange(1, 60), [(name(), 10)], [(name(), 90), (name(), 5)] if rnd.random() < 0.8 else [(name(), 5)]) for i in range(90)]
+    if forward:  # a chain of 40 transactions in order, with others that run into it
+        txs += [(f"u{i:03}", 100 + i, [(f"b{i}", 100)], [(f"b{i + 1}", 90), ("z", 5)]) for i in range(40)]
+        txs += [(f"v{i:03}", rnd.randrange(1, 200), [(f"c{i}", 100)], [(f"b{rnd.randrange(40)}", 90), ("z", 5)]) for i in range(12)]
     led = led_of(spark, txs)
-    members, lengths = sequential_chains(txs)
+    members, lengths = sequential_chains(txs, cap)
     assert {r.address: (r.chain_length, r.position) for r in peel.chain_members(led).collect()} == members
     assert {r.txid: r.walk_length for r in peel.walk_lengths(led).collect()} == lengths
 
@@ -123,6 +129,14 @@ def test_average_precision_ties(spark):
     assert metrics.average_precision(rows.withColumn("y", F.lit(0))).first()[0] == 0.0
     assert metrics.precision_at(rows).where("asked = 10").first().k == 3
     assert metrics.best_threshold(rows.withColumn("y", F.lit(0))).first().threshold == 0.5
+    two = spark.createDataFrame([(0, 1, 0.9), (1, 1, 0.6), (2, 0, 0.6), (3, 0, 0.2)], "pos int, y int, score double")
+    assert tuple(metrics.best_threshold(two, "youden").first()) == (0.21, 0.5)
+    with pytest.raises(ValueError):
+        metrics.best_threshold(two, "accuracy")
+
+
+def listed(spark, **types):
+    return spark.createDataFrame(list(types.items()), "address string, type string")
 
 
 def test_trace(spark):
@@ -130,12 +144,30 @@ def test_trace(spark):
     t = trace.trace(led, "A")
     assert [(e["kind"], e["address"], e["hops"], e["value_sats"]) for e in t.endpoints] == [("DORMANT", "B", 1, 631579), ("DORMANT", "C", 1, 315789)]
     assert (t.stats["value_floor"], t.stats["pruned_branches"], t.stats["pruned_value"]) == (100000, 1, 52632)
-    assert t.value_by_hop == {0: 1000000, 1: 947368} and t.verdict["headline"].startswith("94.7%")
-    assert trace.endpoint_rows(spark, t).select(trace.path_text(F.col("path")).alias("p")).first().p.startswith(" 1. 631579")
-    assert trace.trace(led, "S").endpoints == []
-    named = trace.trace(led, "A", labels={"B": "exchange", "C": "mixer"})
-    assert [e["kind"] for e in named.endpoints] == ["SERVICE", "MIXER"] and named.endpoints[0]["deposit_candidate"] == "A"
+    assert t.value_by_hop == {0: 1000000, 1: 947368} and t.verdict["headline"].startswith("94.7%") and t.verdict["next_step"]
+    rows = trace.endpoint_rows(spark, t)
+    assert rows.select(trace.path_text(F.col("path")).alias("p")).first().p.startswith(" 1. 631579") and rows.first().detail == "holds 0.00600 BTC and has spent nothing"
+    assert trace.trace(led, "S").endpoints == [] and trace.trace(led, "S").verdict["outcome"] == "empty"
+    lists = spark.createDataFrame([("B", "Exchange", "X", 0.7, "me"), ("C", "mixer", None, None, None)], "address string, type string, name string, confidence double, source string")
+    named = trace.trace(led, "A", labels=lists)
+    assert [(e["kind"], e["confidence"], e["label"], e["detail"]) for e in named.endpoints] == [("SERVICE", 0.7, "X", "listed as Exchange X, source: me"), ("MIXER", 0.95, None, "listed as mixer, source: given list")]
+    assert named.endpoints[0]["deposit_candidate"] == "A" and named.verdict["accounts_for"] == "63.2%"
     assert trace.trace(led, "A", trace.TraceOptions(max_hops=0)).endpoints[0]["basis"] == "hop_limit"
+    flagged = trace.trace(led, "A", sanctions=spark.createDataFrame([("B",)], "address string"))
+    assert [e["kind"] for e in flagged.endpoints] == ["SANCTIONED", "DORMANT"]
+
+
+def test_trace_from_another_source():
+    step = trace.Step("t", 1, 1, 10**6, 10**6, [("B", 600000), ("C", 400000)], None)
+    nodes = {"A": trace.Node("A", 1, 10**6, 0, steps=[step]), "B": OSError("timeout"), "C": None}
+
+    class Stub:
+        def read(self, addresses):
+            return {a: nodes[a] for a in addresses}
+
+    t = trace.trace(None, "A", reader=Stub())
+    assert [(e["kind"], e["address"], e["share_of_source"]) for e in t.endpoints] == [("ERROR", "B", None), ("ERROR", "C", None)] and "timeout" in t.endpoints[0]["detail"]
+    assert not trace.trace(None, "C", reader=Stub()).ok and trace.trace(None, "B", reader=Stub()).verdict["outcome"] == "offline"
 
 
 def test_trace_peel_chain_is_one_hop(spark):
@@ -144,10 +176,92 @@ def test_trace_peel_chain_is_one_hop(spark):
     assert t.peel_chains[0]["length"] == 5 and t.endpoints[0]["hops"] == 1 and t.endpoints[0]["path"][0]["via"] == "peel_chain"
 
 
+def checked_trace(txs, source, hops, budget, floor, service, fan):
+    """The rules of the search over plain lists: the queue is scanned for its largest value each time."""
+    known = lambda a: [t for t in txs if a in [x for x, _ in t[2] + t[3]]]
+    got = lambda a: sum(v for t in txs for x, v in t[3] if x == a)
+    gave = lambda a: sum(v for t in txs for x, v in t[2] if x == a)
+    place = {t[0]: i for i, t in enumerate(sorted(txs, key=lambda t: (t[1], t[0])))}
+    spends = lambda a: sorted((t for t in txs if a in [x for x, _ in t[2]]), key=lambda t: -place[t[0]])
+    def kind(a):
+        return "SERVICE" if len(known(a)) >= service else "DORMANT" if got(a) and not gave(a) else "CONTINUE"
+    def carrier(t):
+        total = sum(v for _, v in t[3])
+        if not 2 <= len(t[3]) <= 3 or not total:
+            return None
+        a, v = max(t[3], key=lambda o: o[1])
+        return (a, v, total - v) if v / total >= 0.85 and total > v else None
+    start = got(source)
+    queue, best, read, ends, by_hop, pruned = [(start, source, 0)], {}, {source}, [], {}, [0, 0]
+    while queue and len(read) - 1 < budget:
+        k = max(range(len(queue)), key=lambda i: (queue[i][0], -i))
+        value, a, h = queue.pop(k)
+        if value < floor:
+            pruned = [pruned[0] + 1, pruned[1] + value]
+            continue
+        if best.get(a, -1) >= value:
+            continue
+        best[a] = value
+        read.add(a)
+        by_hop[h] = by_hop.get(h, 0) + value
+        if h and kind(a) != "CONTINUE":
+            ends.append((kind(a), a, h, value))
+            continue
+        if h >= hops:
+            ends.append(("HORIZON", a, h, value))
+            continue
+        out, share = [], min(1.0, value / max(1, got(a) or value))
+        for t in spends(a):
+            mine, total = sum(v for x, v in t[2] if x == a), sum(v for _, v in t[3])
+            if not mine or not total:
+                continue
+            links, at = [], t
+            while at and (c := carrier(at)) and (links or c[0] != a) and len(links) < 200:
+                links.append(c)
+                if len(read) - 1 >= budget and (len(links) >= 2 or c[0] not in read):
+                    break
+                read.add(c[0])
+                at = None if kind(c[0]) != "CONTINUE" else next((x for x in spends(c[0]) if x[0] != at[0]), None)
+            if len(links) >= 3:
+                out.append((int(min(mine, links[-1][1]) * share + 0.5), links[-1][0]))
+                continue
+            for x, v in t[3]:
+                if x != a:
+                    f = int(int(mine * (v / total) + 0.5) * share + 0.5)
+                    if f < floor:
+                        pruned = [pruned[0] + 1, pruned[1] + f]
+                    else:
+                        out.append((f, x))
+        out.sort(key=lambda b: -b[0])
+        queue += [(f, x, h + 1) for f, x in out[:fan]]
+        pruned[0] += max(0, len(out) - fan)
+    return sorted(ends, key=lambda e: -e[3]), by_hop, len(read) - 1, pruned, len(queue)
+
+
+@pytest.mark.parametrize("seed, budget", [(1, 200), (2, 12), (3, 40)])
+def test_trace_against_sequential_checker(spark, seed, budget):
+    rnd = random.Random(seed)
+    name = lambda: f"a{rnd.randrange(45)}"
+    txs = []
+    for i in range(120):
+        v = rnd.randrange(10**6, 10**8)
+        outs = [(name(), v * 9 // 10), (name(), v // 20)] if rnd.random() < 0.5 else [(name(), v // 3) for _ in range(rnd.randrange(1, 5))]
+        txs.append((f"t{i:03}", rnd.randrange(1, 90), [(name(), v)], outs))
+    led, opt = led_of(spark, txs), trace.TraceOptions(max_hops=4, budget=budget, service_min_txs=16, max_branches=3)
+    reader = trace.LedgerSource(led, opt)
+    for source in ("a1", "a7"):
+        t = trace.trace(led, source, opt, reader=reader)
+        ends, by_hop, n_read, pruned, left = checked_trace(txs, source, 4, budget, t.stats["value_floor"], 16, 3)
+        assert [(e["kind"], e["address"], e["hops"], e["value_sats"]) for e in t.endpoints] == ends
+        assert t.value_by_hop == by_hop and t.stats["fetches"] == n_read
+        assert [t.stats["pruned_branches"], t.stats["pruned_value"], t.stats["unexplored_branches"]] == [*pruned, left]
+
+
 def test_classification(spark):
     rows = [("n", 999, 5, 1), ("k", 1000, 5, 1), ("t", 10000, 5, 1), ("m", 1000000, 5, 1), ("e", 3, 5, 1), ("s", 3, 5, 1), ("d", 3, 5, 0), ("o", 3, 5, 1)]
     t = spark.createDataFrame(rows, "address string, n_tx long, received long, sent long")
     lists = spark.createDataFrame([("e", "Exchange"), ("s", "scam")], "address string, type string"), spark.createDataFrame([("o",)], "address string")
+    assert trace.classify(t.limit(0)).count() == 0
     got = {r.address: (r.kind, round(r.confidence, 6)) for r in trace.classify(t, *lists).collect()}
     assert got == {"n": ("CONTINUE", 0), "k": ("SERVICE", 0.55), "t": ("SERVICE", 0.75), "m": ("SERVICE", 0.9), "e": ("SERVICE", 0.95), "s": ("CONTINUE", 0), "d": ("DORMANT", 0.9), "o": ("SANCTIONED", 1)}
 
@@ -199,6 +313,22 @@ def test_cohorts_assign_the_rest(spark):
     assert got.count() == 300 and got.select("address").distinct().count() == 300
 
 
+def test_percentiles_of_a_group_with_most_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [(None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", None if rng.random() < 0.1 else float(rng.integers(40)), float(rng.normal())) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, a double, b double")
+    with Scratch(spark) as scratch:
+        got = {r.g: r for r in ranks.percentiles(df, ["g"], ["a", "b"], 0.9, scratch).collect()}
+        for g in {d[0] for d in data}:
+            own = [d for d in data if d[0] == g]
+            assert got[g]["size"] == len(own)
+            for k, c in ((1, "a"), (2, "b")):
+                assert got[g][c] == pytest.approx(np.percentile([d[k] for d in own if d[k] is not None], 90))
+        assert ranks.percentiles(df.limit(0), ["g"], ["a"], 0.5, scratch).count() == 0
+
+
 def test_height_window(spark):
     b = spark.range(10).selectExpr("id as height")
     assert sorted(r.height for r in ledger.height_window(b, count=3).collect()) == [7, 8, 9]
