@@ -55,21 +55,59 @@ class Clock:
         self.now += s
 
 
+GOOD = "1" + "A" * 30
+
+
+def made(providers, fetch, clock, **more):
+    return explorer.Explorer(providers, fetch, clock, clock.wait, any_address=True, **more)
+
+
 def test_provider_rotation():
     clock = Clock()
     a, b = explorer.esplora("A", "a"), explorer.offset_pages("B", "b", size=2)
     pages = {"B/rawaddr/x?limit=2&offset=0": '{"txs": [{"hash": "1"}, {"hash": "2"}]}', "B/rawaddr/x?limit=2&offset=2": '{"txs": [{"hash": "3"}]}'}
-    e = explorer.Explorer(explorer.Pool([a, b], clock), lambda u: (200, pages[u]) if u in pages else (429, ""), clock.wait)
+    e = made([a, b], lambda u: (200, pages[u]) if u in pages else (429, ""), clock)
     assert list(e.bodies("x")) == list(pages.values())
-    assert e.pool.status()[0] == {"name": "a", "failures": 1, "benched_for": pytest.approx(60, abs=1)}
+    first, second = e.status()
+    assert (first["refusals_in_row"], first["last_reason"], second["answers"]) == (1, "status 429", 2) and first["rests_for"] == pytest.approx(60, abs=1)
     clock.now = 100
-    assert list(e.bodies("x")) and a.failures == 2 and a.benched_until == pytest.approx(220, abs=1)
+    assert list(e.bodies("x")) and e.status()[0]["refusals_in_row"] == 2 and e.standings["a"].free_at == pytest.approx(220, abs=1)
+    for _ in range(9):
+        e.standings["a"].took("refused", 0.0)
+    assert e.standings["a"].free_at == 900
+    e.standings["a"].took("answered", 0.0)
+    assert e.standings["a"].refusals_in_row == 0 and e.standings["a"].free_at == 0
+
+
+def test_other_errors_do_not_rest_a_provider():
+    clock = Clock()
+    answers = iter([(500, ""), (404, ""), (200, "[]")])
+    e = made([explorer.esplora("A")], lambda u: next(answers), clock)
+    assert list(e.bodies("x")) == ["[]"] and e.status()[0]["errors"] == 2 and e.status()[0]["rests_for"] == 0
+    with pytest.raises(OSError, match="status 500"):
+        made([explorer.esplora("A")], lambda u: (500, ""), clock).transaction("t")
+    assert clock.now >= 0.35
+
+    def broken(url):
+        raise OSError("timeout")
+
+    e = made([explorer.esplora("A")], broken, clock)
+    with pytest.raises(OSError, match="timeout"):
+        e.transaction("t")
+    assert e.status()[0]["rests_for"] > 0 and len(e.calls) == 1
+
+
+def test_one_short_wait_when_all_rest():
+    clock = Clock()
+    e = made([explorer.esplora("A")], lambda u: (200, "[]"), clock)
+    e.standing(e.providers[0]).free_at = 15
+    assert list(e.bodies("x")) == ["[]"] and clock.now >= 15
+    e.standing(e.providers[0]).free_at = clock.now + 500
     with pytest.raises(OSError):
-        explorer.Explorer(explorer.Pool([explorer.esplora("A")], clock), lambda u: (500, ""), clock.wait).page("x", 0, [])
-    assert [explorer.backoff(429, k) for k in (0, 1, 9)] == [3, 6, 60] and explorer.backoff(None, 9) == 30
+        list(e.bodies("x"))
 
 
-def test_cursor_pages():
+def test_cursor_pages_and_cache(tmp_path):
     seen = []
 
     def fetch(url):
@@ -77,8 +115,36 @@ def test_cursor_pages():
         n = 25 if len(seen) == 1 else 1
         return 200, json.dumps([{"txid": f"t{i}"} for i in range(n)])
 
-    assert len(list(explorer.Explorer(explorer.Pool([explorer.esplora("E")], Clock()), fetch, lambda s: None).bodies("x"))) == 2
-    assert seen == ["E/address/x/txs", "E/address/x/txs/chain/t24"]
+    cache = explorer.FolderCache(str(tmp_path))
+    pages = list(made([explorer.esplora("E")], fetch, Clock(), cache=cache).bodies("x"))
+    assert len(pages) == 2 and seen == ["E/address/x/txs", "E/address/x/txs/chain/t24"]
+    # offline, the cache answers
+    assert list(made([explorer.esplora("E")], None, Clock(), cache=cache).bodies("x")) == pages
+    with pytest.raises(OSError, match="offline"):
+        list(made([explorer.esplora("E")], None, Clock(), cache=cache).bodies("y"))
+    cache.put("a/b", "1")
+    cache.put("a_b", "2")
+    assert (cache.get("a/b"), cache.get("a_b"), cache.get("c")) == ("1", "2", None)
+
+
+def test_totals_transaction_and_gate():
+    answer = {"chain_stats": {"funded_txo_sum": 5, "spent_txo_sum": 2, "tx_count": 3}, "mempool_stats": {"funded_txo_sum": 1}}
+    e = explorer.Explorer([explorer.esplora("E")], lambda u: (200, json.dumps(answer)), Clock(), lambda s: None)
+    got = e.totals(GOOD)
+    assert (got["total_received_sats"], got["total_sent_sats"], got["balance_sats"], got["n_tx"]) == (6, 2, 4, 3)
+    assert json.loads(e.transaction("t")) == answer and e.calls[-1] == "E/tx/t"
+    with pytest.raises(ValueError):
+        e.totals("nonsense")
+    b = explorer.Explorer([explorer.offset_pages("B")], lambda u: (200, '{"total_received": 9, "total_sent": 4, "n_tx": 2}'), Clock(), lambda s: None)
+    assert b.totals(GOOD)["balance_sats"] == 5
+
+
+def test_patience_with_one_server():
+    waits, answers = [], iter([(503, ""), (502, ""), (200, "ok")])
+    assert explorer.fetch_patiently(lambda u: next(answers), "u", wait=waits.append) == "ok" and waits == [3, 6]
+    with pytest.raises(OSError, match="status 404"):
+        explorer.fetch_patiently(lambda u: (404, ""), "u", wait=waits.append)
+    assert len(waits) == 2 and [explorer.backoff(429, k) for k in (0, 1, 9)] == [3, 6, 60] and explorer.backoff(None, 9) == 30
 
 
 def test_config():
@@ -89,6 +155,16 @@ def test_config():
     assert explorer.merged_config(base, "{broken") == explorer.merged_config(base, None) == base
 
 
+def test_providers_of_a_config():
+    assert [p.name for p in explorer.providers_of({})] == ["blockstream.info", "mempool.space", "blockchain.info"]
+    own = {"providers": [{"kind": "esplora", "name": "mine", "base": "http://h/api/"}]}
+    assert explorer.providers_of(own)[0].tx_url("t") == "http://h/api/tx/t"
+    for bad in ({"kind": "x", "name": "n", "base": "http://h"}, {"kind": "esplora", "name": "n", "base": "file:///x"}, {"kind": "esplora", "name": "n", "base": "http://h", "key": "secret"}):
+        with pytest.raises(ValueError) as e:
+            explorer.providers_of({"providers": [bad]})
+        assert "secret" not in str(e.value)
+
+
 def test_data_source_plans(spark):
     spark.dataSource.register(explorer.ExplorerSource)
     assert spark.read.format("explorer").option("base", "http://127.0.0.1:9").load().columns == ["record_id", "address", "body"]
