@@ -174,6 +174,21 @@ def cohorts(features: DataFrame, columns: tuple[str, ...] = CLUSTER_FEATURES, mi
     return fitted.unionByName(assign_nearest(others, cents, columns))
 
 
+def cell_cohorts(features: DataFrame, columns: tuple[str, ...] = CLUSTER_FEATURES, min_size: int = 5) -> DataFrame:
+    """(address, cluster): cohorts by the cell of whole logarithms ln(1+x) in each column; cells of fewer rows are noise (-1).
+
+    A cohort without fitting: every address takes part, and a new one falls into
+    its cell without another look at the others. The number of a cell holds two
+    decimal digits a column.
+    """
+    cell = F.lit(0)
+    for c in columns:
+        cell = cell * 100 + F.floor(F.log1p(F.greatest(finite(F.col(c)), F.lit(0.0)))).cast("int")
+    cells = features.select("address", cell.cast("int").alias("cluster"))
+    large = cells.groupBy("cluster").count().where(F.col("count") >= min_size).select("cluster", F.lit(True).alias("large"))
+    return cells.join(large, "cluster", "left").select("address", F.when(F.col("large"), F.col("cluster")).otherwise(-1).alias("cluster"))
+
+
 def assign_nearest(x: DataFrame, centroids: list[tuple[int, np.ndarray, float]], columns: tuple[str, ...]) -> DataFrame:
     """(address, cluster): the nearest of a few centroids (ties: the lowest label), -1 beyond its radius."""
     if not centroids:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.session import Scratch
@@ -56,8 +56,12 @@ def from_blocks(blocks: DataFrame) -> Ledger:
 
 
 def blocks_of_tx(tx: DataFrame) -> DataFrame:
-    """Reduced blocks of the confirmed rows of a transaction table, transactions in order of their identifier."""
-    side = lambda c: F.filter(F.coalesce(F.col(c), F.array()), lambda e: e["address"].isNotNull() & (e["address"] != ""))
+    """Reduced blocks of the confirmed rows of a transaction table, transactions in order of their identifier; missing values are 0."""
+
+    def side(c: str) -> Column:
+        named = F.filter(F.coalesce(F.col(c), F.array()), lambda e: e["address"].isNotNull() & (e["address"] != ""))
+        return F.transform(named, lambda e: e.withField("value_sats", F.coalesce(e["value_sats"], F.lit(0))))
+
     one = F.struct("txid", F.coalesce("time", F.lit(0)).alias("time"), side("inputs").alias("inputs"), side("outputs").alias("outputs"))
     return tx.where("block_height is not null and txid is not null").groupBy(F.col("block_height").alias("height")).agg(
         F.max("time").alias("time"), F.sort_array(F.collect_list(one)).alias("txs")

@@ -58,9 +58,17 @@ def address_view(features: DataFrame, ranked: DataFrame, clusters: DataFrame, ri
     return features.withColumn("exit_kind", exit_kind()).join(r, "address", "left").join(c, "address", "left")
 
 
-def overview(stats: DataFrame, patterns: DataFrame, edges: DataFrame) -> DataFrame:
-    hours = F.round((F.col("window_end") - F.col("window_start")) / 3600, 1)
-    return stats.crossJoin(patterns).crossJoin(edges.agg(F.count("*").alias("edges"))).withColumn("hours", hours)  # one row each
+def overview(stats: DataFrame, patterns: DataFrame, edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row: statistics, pattern counts, edges and the hours between the first and the last block (``blocks`` has time)."""
+    hours = blocks.agg(F.round((F.max("time") - F.min("time")) / 3600, 1).alias("hours"))
+    return stats.crossJoin(patterns).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(hours)  # one row each
+
+
+def counterparties(features: DataFrame, edges: DataFrame, k: int = 30) -> DataFrame:
+    """(address, dir, pos, other, value_sats, exit_kind): the k largest of every address and direction, with what the other one is."""
+    top = graph.top_counterparties(graph.adjacency(edges), k)
+    kinds = features.select(F.col("address").alias("other"), exit_kind().alias("exit_kind"))
+    return top.join(kinds, "other", "left").select("address", "dir", "pos", "other", "value_sats", "exit_kind")
 
 
 def high_risk(risk: DataFrame, k: int = 6) -> DataFrame:

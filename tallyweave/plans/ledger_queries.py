@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import money
 from tallyweave.operators import behavior, cohort, graph, labels, ledger, metrics, peel, serving, trace
+from tallyweave.plans import analysis
 from tallyweave.plans.ledger_sql import SQL
 from tallyweave.session import Scratch
 from tallyweave.sources.tables import table
@@ -28,12 +29,24 @@ def _ledger(spark: SparkSession, folder: str) -> ledger.Ledger:
 
 
 def _base(spark: SparkSession, folder: str) -> DataFrame:
-    """Features without the peel columns, which need the greedy walk."""
+    """Features without the peel columns, for what does not read them."""
     return behavior.with_features(behavior.accumulators(_ledger(spark, folder)))
 
 
+def _full(led: ledger.Ledger) -> DataFrame:
+    """All 19 features of a ledger, which is flattened once."""
+    led = led.stored()
+    return behavior.with_features(behavior.accumulators(led), peel.peel_columns(led, peel.chain_members(led)))
+
+
+def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        scratch.hold(name)
+        return scratch.keep(df, name)
+
+
 def _kept_base(spark: SparkSession, folder: str) -> DataFrame:
-    return Scratch(spark).keep(_base(spark, folder), "features")
+    return _kept(spark, _base(spark, folder), "features")
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,28 +55,40 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
     return behavior.edges(led, n.groupBy("address").count().where("count >= 2"))
 
 
-def _cohort_column(features: DataFrame) -> DataFrame:
-    """A deterministic stand-in for cohorts, so that risk and labels can be compared with SQL."""
-    return features.select("address", ((F.ascii("address") + F.length("address") + F.col("n_tx_in").cast("long")) % 7 - 1).cast("int").alias("cluster"))
+# --------------------------------------------------------------------------- window documents
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of all window documents: one row of each address and window, named by both; ``own`` is the address."""
+    t = table(spark, folder, "address_features").where("address is not null")
+    rest = [c for c in t.columns if c not in ("window_start", "address")]
+    one = t.groupBy("window_start", "address").agg(F.min_by(F.struct(*rest), "row_id").alias("r"))
+    key = F.concat(F.col("window_start").cast("string"), F.lit(":"), F.col("address")).alias("address")
+    return _kept(spark, one.select(key, F.col("address").alias("own"), "r.first_seen", "r.last_seen", *[money.finite(F.col(f"r.{c}")).alias(c) for c in behavior.FEATURES]), "windows")
+
 
+def _window_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The window documents' edges between the addresses named as in ``_windows``; redelivered ones once."""
+    e = table(spark, folder, "edges").where("src is not null and dst is not null").dropDuplicates(["window_start", "src", "dst"])
+    name = lambda c: F.concat(F.col("window_start").cast("string"), F.lit(":"), F.col(c)).alias(c)
+    return e.select(name("src"), name("dst"), "value_sats", "n_txs", "first_time")
 
-def _confirmed(spark: SparkSession, folder: str) -> DataFrame:
-    """The lists' rows mapped to addresses of the order ledger."""
-    from pyspark.sql import Window as W
 
-    w = W.orderBy("address")  # the lists are of fixed size
-    r = table(spark, folder, "label_ransomware").where("address is not null").select((F.row_number().over(w) * 3).alias("k"))
-    s = table(spark, folder, "label_sanctions").where("address is not null").select((F.row_number().over(w) * 5).alias("k"))
-    name = F.concat(F.lit("c"), F.col("k").cast("string")).alias("address")
-    return labels.confirmed(r.select(name), s.select(name))
+def _confirmed(spark: SparkSession, folder: str, f: DataFrame) -> DataFrame:
+    lists = labels.confirmed(table(spark, folder, "label_ransomware"), table(spark, folder, "label_sanctions"))
+    return f.select("address", "own").join(lists.withColumnRenamed("address", "own"), "own").select("address", "kind")
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
-    f = _kept_base(spark, folder)
-    clusters = _cohort_column(f)
-    weak = cohort.weak_labels(f, clusters, cohort.cluster_risk(f, clusters), _confirmed(spark, folder))
+    """Weak labels of the window documents' addresses over cell cohorts, with a score to measure."""
+    f = _windows(spark, folder)
+    clusters = cohort.cell_cohorts(f)
+    weak = cohort.weak_labels(f, clusters, cohort.cluster_risk(f, clusters), _confirmed(spark, folder, f))
     score = F.col("collector_score") * 0.5 + F.col("layering_score") * 0.5 + F.col("forward_ratio") * 0.3
-    return Scratch(spark).keep(weak.join(f.select("address", score.alias("score")), "address").withColumn("pos", F.col("address")), "labelled")
+    return _kept(spark, weak.join(f.select("address", score.alias("score")), "address").withColumn("pos", F.col("address")), "labelled")
+
+
+def _risk(spark: SparkSession, folder: str) -> DataFrame:
+    f = _windows(spark, folder)
+    return cohort.cluster_risk(f, cohort.cell_cohorts(f))
 
 
 # --------------------------------------------------------------------------- transactions
@@ -146,8 +171,7 @@ def address_features_base(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def address_features(spark: SparkSession, folder: str) -> DataFrame:
-    led = _ledger(spark, folder)
-    return behavior.with_features(behavior.accumulators(led), peel.peel_columns(led, peel.chain_members(led)))
+    return _full(_ledger(spark, folder))
 
 
 @_query
@@ -156,8 +180,7 @@ def ledger_features(spark: SparkSession, folder: str) -> DataFrame:
     from tallyweave.operators.delivery import exactly_once
 
     blocks = ledger.blocks_of_tx(exactly_once(table(spark, folder, "tx")))
-    led = ledger.from_blocks(Scratch(spark).keep(blocks, "blocks"))
-    return behavior.with_features(behavior.accumulators(led), peel.peel_columns(led, peel.chain_members(led)))
+    return _full(ledger.from_blocks(_kept(spark, blocks, "blocks")))
 
 
 @_query
@@ -172,7 +195,7 @@ def collector_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def pattern_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return behavior.pattern_counts(_base(spark, folder))
+    return behavior.pattern_counts(_full(_ledger(spark, folder)))
 
 
 @_query
@@ -198,7 +221,7 @@ def top_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def ego_2hop(spark: SparkSession, folder: str) -> DataFrame:
-    adj = Scratch(spark).keep(graph.adjacency(_edges(spark, folder)), "adjacency")
+    adj = _kept(spark, graph.adjacency(_edges(spark, folder)), "adjacency")
     seed = adj.agg(F.min("address")).first()[0]
     return graph.ego_network(adj, seed, hops=2, max_nodes=500)
 
@@ -210,14 +233,7 @@ def induced_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def components(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").where("l_tax < 0.01 and l_discount > 0.09 and l_quantity > 48")
-    pairs = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return graph.components(pairs.select(F.col("o_custkey").cast("long").alias("u"), (F.col("l_suppkey") + F.lit(1000000000)).cast("long").alias("v")))
-
-
-@_query
-def components_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Components of all customer-supplier pairs; ``components`` takes the few that its recursive twin can follow."""
+    """Components of all customer-supplier pairs."""
     lines, orders = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     pairs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return graph.components(pairs.select(F.col("o_custkey").cast("long").alias("u"), (F.col("l_suppkey") + F.lit(1000000000)).cast("long").alias("v")))
@@ -263,33 +279,41 @@ def scaled_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def hdbscan_cohorts(spark: SparkSession, folder: str) -> DataFrame:
-    return cohort.cohorts(_kept_base(spark, folder))
+    return cohort.cohorts(_windows(spark, folder))
+
+
+def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    e = table(spark, folder, "embeddings")
+    n = e.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+    dims = [f"c{i + 1}" for i in range(n)]
+    return e.select(F.col("vec_id").alias("address"), "label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)]), dims
 
 
 @_query
 def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
-    dims = [f"c{i}" for i in range(1, 5)]
-    e = table(spark, folder, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)])
-    c = cohort.centroids(e, dims)
-    return c.select("label", *[F.round(f"{d}_c", 6).alias(d) for d in dims], F.round("radius", 6).alias("radius"))
+    e, dims = _vectors(spark, folder)
+    return cohort.centroids(e, dims).select("label", *[F.round(f"{d}_c", 6).alias(d) for d in dims], F.round("radius", 6).alias("radius"))
 
 
 @_query
 def cluster_risk(spark: SparkSession, folder: str) -> DataFrame:
-    f = _base(spark, folder)
-    return cohort.cluster_risk(f, _cohort_column(f))
+    return _risk(spark, folder)
 
 
 @_query
 def cluster_medians(spark: SparkSession, folder: str) -> DataFrame:
-    f = _base(spark, folder)
-    return cohort.cluster_medians(f, _cohort_column(f))
+    f = _windows(spark, folder)
+    return cohort.cluster_medians(f, cohort.cell_cohorts(f))
+
+
+@_query
+def cohort_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return cohort.cluster_counts(cohort.cell_cohorts(_windows(spark, folder)))
 
 
 @_query
 def clusters_list(spark: SparkSession, folder: str) -> DataFrame:
-    f = _base(spark, folder)
-    return serving.clusters(cohort.cluster_risk(f, _cohort_column(f))).select("cluster", "size", "risk")
+    return serving.clusters(_risk(spark, folder)).select("cluster", "size", "risk")
 
 
 @_query
@@ -304,23 +328,38 @@ def label_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def fallback_score(spark: SparkSession, folder: str) -> DataFrame:
-    return cohort.fallback_score(_base(spark, folder)).select("address", "score")
+    return cohort.fallback_score(_windows(spark, folder)).select("address", "score")
 
 
 @_query
 def top_ranked(spark: SparkSession, folder: str) -> DataFrame:
-    return cohort.top_ranked(cohort.fallback_score(_base(spark, folder))).select("rank", "address", "score")
+    return _ranked(_windows(spark, folder)).select("rank", "address", "score")
 
 
 @_query
 def tags(spark: SparkSession, folder: str) -> DataFrame:
-    return _base(spark, folder).select("address", F.array_join(serving.tags(), ",").alias("tags"))
+    return _windows(spark, folder).select("address", F.array_join(serving.tags(), ",").alias("tags"))
+
+
+def _analysis(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    f = _windows(spark, folder)
+    return analysis.analyse(f, _window_edges(spark, folder), _confirmed(spark, folder, f))
 
 
 @_query
 def graph_scores(spark: SparkSession, folder: str) -> DataFrame:
-    f = _kept_base(spark, folder)
-    return cohort.graph_scores(f, _edges(spark, folder), _labelled(spark, folder))
+    return _analysis(spark, folder)["scores"]
+
+
+@_query
+def analysis_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole analysis: density cohorts, their risk, weak labels, graph scores and the ranking by them."""
+    return _analysis(spark, folder)["ranking"]
+
+
+@_query
+def analysis_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _analysis(spark, folder)["clusters"]
 
 
 @_query
@@ -387,6 +426,11 @@ def best_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.best_threshold(_labelled(spark, folder))
 
 
+@_query
+def youden_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.best_threshold(_labelled(spark, folder), "youden")
+
+
 @_query
 def evaluation(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.evaluate(_labelled(spark, folder)).select("n", "n_positive", "base_rate", "tp", "f1", "youden_j", "average_precision", "precision_at_10", "precision_at_100", "labelled_accuracy")
@@ -399,41 +443,56 @@ def _ranked(f: DataFrame) -> DataFrame:
 
 @_query
 def api_overview(spark: SparkSession, folder: str) -> DataFrame:
-    f = _kept_base(spark, folder)
-    led = _ledger(spark, folder)
-    return serving.overview(behavior.window_stats(led, f), behavior.pattern_counts(f), behavior.edges(led, f))
+    led = _ledger(spark, folder).stored()
+    f = _kept(spark, behavior.with_features(behavior.accumulators(led), peel.peel_columns(led, peel.chain_members(led))), "features")
+    blocks = led.txs.select((F.col("height") * 86400).alias("time"))  # a block of this ledger is a day
+    return serving.overview(behavior.window_stats(led, f), behavior.pattern_counts(f), behavior.edges(led, f), blocks)
 
 
 @_query
 def api_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    view = serving.ranking(_ranked(_kept_base(spark, folder)), min_btc=0.05, limit=60, pattern="fanin")
+    view = serving.ranking(_ranked(_windows(spark, folder)), min_btc=0.05, limit=60, pattern="fanin")
     return view.select("rank", "address", "score", F.array_join("tags", ",").alias("tags"), "received_btc", "in_degree", "out_degree")
 
 
 @_query
 def api_address(spark: SparkSession, folder: str) -> DataFrame:
-    f = _kept_base(spark, folder)
-    c = _cohort_column(f)
+    f = _windows(spark, folder)
+    c = cohort.cell_cohorts(f)
     return serving.address_view(f, _ranked(f), c, cohort.cluster_risk(f, c)).select("address", "exit_kind", "rank", "score", "cluster", "risk")
 
 
 @_query
-def api_graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
+def address_counterparties(spark: SparkSession, folder: str) -> DataFrame:
+    """The address view's lists: the 30 largest counterparties of every address and direction."""
+    f = _kept_base(spark, folder)
+    return serving.counterparties(f, behavior.edges(_ledger(spark, folder), f))
+
+
+def _graph_view(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     f = _kept_base(spark, folder)
-    e = Scratch(spark).keep(behavior.edges(_ledger(spark, folder), f), "edges")
-    seed = f.agg(F.min("address")).first()[0]
-    return serving.graph_view(f, e, _ranked(f), seed, hops=1, max_nodes=500)["nodes"]
+    e = _kept(spark, behavior.edges(_ledger(spark, folder), f), "edges")
+    return serving.graph_view(f, e, _ranked(f), f.agg(F.min("address")).first()[0], hops=1, max_nodes=500)
+
+
+@_query
+def api_graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return _graph_view(spark, folder)["nodes"]
+
+
+@_query
+def api_graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _graph_view(spark, folder)["edges"].select("src", "dst", "value_sats", "n_txs")
 
 
 @_query
 def high_risk_cohorts(spark: SparkSession, folder: str) -> DataFrame:
-    f = _kept_base(spark, folder)
-    return serving.high_risk(cohort.cluster_risk(f, _cohort_column(f))).select("cluster", "size", "risk")
+    return serving.high_risk(_risk(spark, folder)).select("cluster", "size", "risk")
 
 
 @_query
 def report_tags(spark: SparkSession, folder: str) -> DataFrame:
-    return _base(spark, folder).select("address", F.array_join(serving.report_tags(), ",").alias("tags"))
+    return _windows(spark, folder).select("address", F.array_join(serving.report_tags(), ",").alias("tags"))
 
 
 @_query
@@ -443,10 +502,9 @@ def tx_parties(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def nearest_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    dims = [f"c{i}" for i in range(1, 5)]
-    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("address"), "label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)])
+    e, dims = _vectors(spark, folder)
     rows = cohort.centroids(e, dims).select("label", *[f"{d}_c" for d in dims], "radius").orderBy("label").collect()  # one row a label
-    found = cohort.assign_nearest(e.select("address", *dims), [(int(r[0]), list(r[1:5]), r[5]) for r in rows], tuple(dims))
+    found = cohort.assign_nearest(e.select("address", *dims), [(int(r[0]), list(r[1:-1]), r[-1]) for r in rows], tuple(dims))
     return found.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
