@@ -51,7 +51,7 @@ def test_risk_and_labels_follow_from_the_cohorts(run):
 
 
 def test_scores_and_ranking(run):
-    _, _, t, _ = run
+    f, _, t, _ = run
     scores = {r.address: r for r in t["scores"]}
     assert len(scores) == len(t["labels"]) and all(0 <= r.score <= 1 for r in scores.values()) and {r.split for r in scores.values()} == {"train", "validation", "test"}
     # held-out positives score above held-out negatives far more often than not
@@ -61,7 +61,12 @@ def test_scores_and_ranking(run):
     best = sorted(scores.values(), key=lambda r: (-r.score, r.address))[:25]
     got = sorted(t["ranking"], key=lambda r: r["rank"])
     assert [(r["rank"], r.address) for r in got] == [(i + 1, r.address) for i, r in enumerate(best)]
-    assert any("peeling" in r.tags for r in got) and all(r.tier == ("high" if r.score >= 0.7 else "medium" if r.score >= 0.4 else "low") for r in got)
+    rows, cohorts, risk = {r.address: r for r in f.collect()}, {r.address: r.cluster for r in t["cohorts"]}, {r.cluster: r.risk for r in t["clusters"]}
+    limits = (("layering", "layering_score", 0.1), ("fan-in", "collector_score", 0.1), ("peeling", "peel_score", 0.5), ("pass-through", "forward_ratio", 0.95))
+    for r in got:
+        assert r.tags == ",".join(tag for tag, c, least in limits if rows[r.address][c] > least)
+        assert (r.cluster, r.risk) == (cohorts[r.address], risk[cohorts[r.address]])
+        assert r.tier == ("high" if r.score >= 0.7 else "medium" if r.score >= 0.4 else "low")
 
 
 def test_document_round_trip(run, spark, tmp_path):
