@@ -91,11 +91,14 @@ def groups(links: DataFrame) -> DataFrame:
     nothing; a value without any other link is in no group. Repeated links and
     either direction count once. An empty table gives no rows.
     """
-    scratch = Scratch(links.sparkSession)
-    links = scratch.keep(links.where("a is not null and b is not null and a <> b").select("a", "b"), "links")
-    ids = _ordinals(links, scratch)
-    edges = links.join(ids.select(F.col("value").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("value").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
-    labels = seed_tree(edges, scratch)
+    with Scratch(links.sparkSession) as scratch:
+        scratch.hold("ordinals", "labels")
+        links = scratch.keep(links.where("a is not null and b is not null and a <> b").select("a", "b"), "links")
+        ids = _ordinals(links, scratch)
+        edges = links.join(ids.select(F.col("value").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("value").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
+        labels = seed_tree(edges, scratch)
+        if "labels" not in scratch._paths:  # no link at all: the empty result still reads the links
+            scratch.hold("links", "graph")
     named = labels.join(ids.withColumnRenamed("value", "address"), "id")
     seeds = labels.where("id = seed").join(ids, "id").select("seed", F.col("value").alias("group_address"))
     return named.join(seeds, "seed").select("group_address", "address")
